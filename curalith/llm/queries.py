@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curalith.llm import bpe
+from curalith.llm import bpe, packing
 from curalith.llm.oracles import ORACLES
 
 VOCABULARY = "word_bpe_49k.json"
@@ -20,8 +20,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.vocabulary_path(VOCABULARY))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), bpe.vocabulary_path(VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
+    "op10_packing": op10_packing,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
