@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curalith.llm import bpe, langid, packing
+from curalith.llm import bpe, langid, packing, quality
 from curalith.llm.oracles import ORACLES
 
 VOCABULARY = "word_bpe_49k.json"
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.apply_rules(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.vocabulary_path(VOCABULARY))
 
@@ -31,6 +35,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op4_bpe": op4_bpe,
     "op5_language": op5_language,
     "op10_packing": op10_packing,
