@@ -1,3 +1,20 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": r"""
+with split as (
+  select doc_id, row_number() over () as r, string_split(coalesce(text, ''), chr(10)) as lines from documents
+), lines as (
+  select r, doc_id, unnest(lines) as line, unnest(range(len(lines))) as pos from split
+), keyed as (
+  select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from lines
+), frequent as (
+  select k from keyed where length(k) >= 1 group by k having count(distinct r) >= 10
+), marked as (
+  select keyed.*, frequent.k is not null as dropped from keyed left join frequent on keyed.k = frequent.k
+)
+select doc_id, count(*) as n_lines, count(*) filter (where dropped) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not dropped), '')) as kept_sha256
+from marked group by r, doc_id
+""",
+}

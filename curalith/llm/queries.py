@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curalith.llm import bpe, langid, packing, quality
+from curalith.llm import bpe, langid, line_dedup, packing, quality
 from curalith.llm.oracles import ORACLES
 
 VOCABULARY = "word_bpe_49k.json"
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep bitmaps stay inside: the oracle has the columns of the contract."""
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).drop("keep_bitmap")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
     "op4_bpe": op4_bpe,
     "op5_language": op5_language,
