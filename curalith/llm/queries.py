@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curalith.llm import bpe, fingerprint, langid, line_dedup, packing, quality, substring_dedup, suffix_dedup
+from curalith.llm import bpe, fingerprint, katz, langid, line_dedup, packing, quality, substring_dedup, suffix_dedup
 from curalith.llm.oracles import ORACLES
 
 VOCABULARY = "word_bpe_49k.json"
@@ -43,6 +43,10 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(table(spark, sf_dir, "documents"))
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_language": op5_language,
     "op7_fingerprint": op7_fingerprint,
+    "op8_katz": op8_katz,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
