@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curalith.llm import bpe, fingerprint, katz, langid, line_dedup, packing, quality, substring_dedup, suffix_dedup
+from curalith.llm import bpe, fingerprint, katz, langid, line_dedup, ngram_join, packing, quality, substring_dedup, suffix_dedup
 from curalith.llm.oracles import ORACLES
 
 VOCABULARY = "word_bpe_49k.json"
@@ -39,6 +39,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs, bpe.vocabulary_path(PIECES)))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_bpe": op4_bpe,
     "op5_language": op5_language,
+    "op6_ngram_join": op6_ngram_join,
     "op7_fingerprint": op7_fingerprint,
     "op8_katz": op8_katz,
     "op9_substring_dedup": op9_substring_dedup,
