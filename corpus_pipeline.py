@@ -1,12 +1,71 @@
-"""The corpus pipeline: five stages over ``documents``."""
+"""The corpus pipeline: five stages over ``documents``, each an operator of ``curalith.llm``.
+
+1. language: texts without a letter (``und``) and texts whose language stays
+   in doubt go; everything that reads as one language stays.
+2. lines: lines that at least ten of the remaining documents share go.
+3. near_duplicates: of each group of near duplicates (five-word shingles,
+   similarity of 0.8 or more) the document with the smallest id stays.
+4. repeats: bytes of strings of 50 bytes that an earlier document has go.
+5. packing: what is left is packed into sequences of at most 4096 tokens.
+
+A stage works on what its predecessor has kept and written.
+"""
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from curalith.llm import bpe, langid, line_dedup, ngram_join, packing, suffix_dedup
+from curalith.llm.components import use_checkpoints
+from curalith.llm.queries import PIECES, VOCABULARY
+
+#: Posterior under which a text counts as being in no one language.
+CERTAIN = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language.  Null texts go: they have none."""
+    return langid.keep_certain(docs, langid.fit(docs, bpe.vocabulary_path(PIECES)), CERTAIN)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(docs, carry=True)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.representatives(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(docs, carry=True)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, bpe.vocabulary_path(VOCABULARY))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("repeats", repeats),
+    ("packing", pack),
+]
+
+#: No SQL expresses the language stage or the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; every stage but the last is written in the checkpoint folder and read again."""
+    use_checkpoints(spark)
+    folder = os.path.join(spark.sparkContext.getCheckpointDir(), f"pipeline-{uuid.uuid4().hex}")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -183,10 +183,9 @@ def predict(docs: DataFrame, model: Model, *, folds: int = 5) -> DataFrame:
                     best.append("und")
                     score.append(0.0)
                     continue
-                log = scorer.score(t)
-                k = int(np.argmax(log))
+                k, certain = _posterior(scorer.score(t))
                 best.append(model.languages[k])
-                score.append(float(1.0 / np.exp(log - log[k]).sum()))
+                score.append(certain)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([crc32_mod(i, folds) == 0 for i in ids], pa.bool_()), pa.array(best, pa.string()), pa.array(score, pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"],
@@ -195,6 +194,31 @@ def predict(docs: DataFrame, model: Model, *, folds: int = 5) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
+def keep_certain(docs: DataFrame, model: Model, certain: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language with a score of at least ``certain``.
+
+    Rows pass as they are; nothing is joined, so repeated ids are no matter.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(id(shared), shared.value)
+        for b in slices(batches):
+            runs = [runs_of(t or "") for t in b.column(at).to_pylist()]
+            if shared.value.languages:
+                scorer.learn([r for t in runs for r in t])
+            keep = [bool(t) and _posterior(scorer.score(t))[1] >= certain if shared.value.languages else False for t in runs]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _posterior(log: np.ndarray) -> tuple[int, float]:
+    k = int(np.argmax(log))
+    return k, float(1.0 / np.exp(log - log[k]).sum())
+
+
 _SCORERS: dict[int, tuple[Model, Scorer]] = {}
 
 
