@@ -1,0 +1 @@
+"""Operators on manifests, predictions and histories: DataFrame -> DataFrame."""
