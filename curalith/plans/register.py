@@ -491,7 +491,7 @@ def _paths(spark, sf):
 
 @query(
     "path_parse",
-    f"""with {_PATHS}, c as (select page_id, path, list_filter(string_split(path, '/'), x -> x in ('CD', 'UD', 'CP', 'UP', 'CW', 'UW')) as f from n)
+    f"""with {_PATHS}, c as (select page_id, path, list_filter(string_split(path, '/'), lambda x: x in ('CD', 'UD', 'CP', 'UP', 'CW', 'UW')) as f from n)
 select page_id, path, case when len(f) = 1 then substr(f[1], 2, 1) end as surface, case when len(f) = 1 then (substr(f[1], 1, 1) = 'C')::int end as label from c""",
 )
 def _(spark, sf):

@@ -1,7 +1,5 @@
 """Scans: manifests, group maps, predictions, files, images, JSON and configuration."""
 
-from __future__ import annotations
-
 import copy
 import hashlib
 import json
@@ -9,10 +7,12 @@ import os
 from collections.abc import Mapping
 from pathlib import Path, PurePosixPath
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curalith.functions.scalar import class_of_path, portable_path
+from curalith.functions.scalar import class_of_path, difference_hash, portable_path
 from curalith.schema import GROUP_MAP_DDL, JOURNAL_DDL, MANIFEST_DDL, PREDICTION_DDL
 
 
@@ -100,11 +100,6 @@ def perceptual_hashes(spark: SparkSession, root: str) -> DataFrame:
     The areas are averaged without the filter that imaging libraries use, so
     hashes compare with one another but not with other programs' hashes.
     """
-    from curalith.functions.scalar import difference_hash
-
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<array<double>>")
     def grid(width: pd.Series, height: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
         out = []
