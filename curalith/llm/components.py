@@ -20,27 +20,23 @@ def use_checkpoints(spark: SparkSession) -> None:
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b: bigint, no nulls).
 
-    Alternates large and small stars until nothing changes, about log2 of the
-    longest path times.  A node's neighbours are never collected: their least
-    comes from a partial aggregate, so a hub is no burden to one task.
+    Edges lead from the larger node to the smaller.  In a round each node keeps
+    its least neighbour as its parent and links the others to it, and then
+    takes its parent's parent; rounds go on until every node has one neighbour
+    that has none itself, about log2 of the longest path times and once for
+    stars.  A node's neighbours are never collected: their least comes from a
+    partial aggregate, so a hub is no burden to one task.
     """
     use_checkpoints(edges.sparkSession)
     links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
-    last = None
     while True:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        # large star: each larger neighbour of u goes to u's least
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # small star: u and its smaller neighbours go to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
-        links = small.distinct().checkpoint()
-        # every edge now leads downwards; a fixed point is reached when the edges stay the same
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == last:
+        parent = links.groupBy("u").agg(F.min("v").alias("m"))
+        above = parent.select(F.col("u").alias("m"), F.col("m").alias("mm"))
+        up = parent.join(above, "m", "left").select("u", F.coalesce("mm", "m").alias("v"), F.col("mm").isNotNull().alias("moved"))
+        side = links.join(parent, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(True).alias("moved"))
+        links = up.unionByName(side).groupBy("u", "v").agg(F.bool_or("moved").alias("moved")).checkpoint()
+        moved = not links.where("moved").isEmpty()
+        links = links.select("u", "v")
+        if not moved:
             break
-        last = now
-    stars = links.groupBy("u").agg(F.min("v").alias("component"))
-    return stars.select(F.col("u").alias("node"), "component").unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -32,9 +32,11 @@ NULL_ID = np.iinfo(np.int64).max
 #: Tokens in more sets than this are frequent.
 FREQUENT = 32
 #: Sets up to LONG * 5 / 4 tokens key pairs of frequent tokens, sets from LONG tokens single ones; any two that fit have one kind in common.
-LONG = 200
+LONG = 48
 #: Members of a key whose pairs are all candidates from the start.
 SHORT_LIST = 4
+#: Members of a longer key that meet all others in the first round.
+LEADERS = 4
 #: The last round takes all pairs that are left if they are at most so many times the keys' members.
 LAST_ROUND = 8
 
@@ -263,50 +265,46 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def links(blobs: DataFrame, percent: int) -> DataFrame:
-    """Verified links (a, b) between representatives that connect all that are linked at all.
+def linked(blobs: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the representatives that any link touches.
 
-    A key's members are numbered by id.  In round r the members 2**r - 1 to
-    2**(r+1) - 2 meet all later ones that fit in size and aren't in the same
-    component yet; short lists meet in full at once.  Where one text has very
-    many near copies, the first members bring most of them into one component,
-    and hardly a pair is left for the later rounds; none is left out.
+    A key's members are numbered by id.  In the first round its first LEADERS
+    members meet all later ones that fit in size, in each further round twice
+    as many do, but for pairs already known to be in one component; short lists
+    meet in full at once.  Where one text has very many near copies, the first
+    members bring most of them into one component, and hardly a pair is left
+    for the later rounds; none is left out.
     """
-    spark = blobs.sparkSession
     sets = _sets(blobs)
+    listed = _lists(blobs).distinct()
     place = Window.partitionBy("key").orderBy("doc")
-    listed = _lists(blobs).distinct().withColumn("at", F.row_number().over(place) - 1)
-    listed = listed.join(listed.groupBy("key").agg(F.max("at").alias("top")), "key").checkpoint()
-    longest = listed.agg(F.max("top")).first()[0] or 0
-    members = listed.count()
-    found = spark.createDataFrame([], "a bigint, b bigint")
+    listed = listed.withColumn("at", F.row_number().over(place) - 1).withColumn("top", F.count("*").over(Window.partitionBy("key")) - 1).checkpoint()
+    longest, members = listed.agg(F.max("top"), F.count("*")).first()
+    # an id that several rows with different sets repeat is linked with each set's representative
+    rows = _rows(blobs)
+    repeated = rows.groupBy("doc").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc")
+    found = rows.join(repeated, "doc").where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")).checkpoint()
     labels = None
-    low = 0
+    low, high, longest = 0, LEADERS, longest or 0
     while low < longest or low == 0 and members:
-        high = 2 * low + 1
         known = listed.withColumn("component", F.col("doc"))
-        if labels is not None:
-            known = listed.join(labels, listed["doc"] == labels["node"], "left").select(listed["*"], F.coalesce("component", "doc").alias("component"))
-        fits = (F.col("x.at") < F.col("y.at")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
-
-        def between(leaders, known=known, fits=fits) -> DataFrame:
-            x = known.where(leaders).alias("x")
-            return x.join(known.alias("y"), (F.col("x.key") == F.col("y.key")) & fits)
-
         in_turn = F.when(F.col("top") < SHORT_LIST, F.lit(low == 0)).otherwise((F.col("at") >= low) & (F.col("at") < high))
-        if low:
-            # what is left of a key: pairs of members of different components, at most
-            per = known.where((F.col("top") >= SHORT_LIST) & (F.col("at") >= low)).groupBy("key", "component").count()
+        if labels is not None:
+            known = listed.where(F.col("top") >= SHORT_LIST).join(labels, F.col("doc") == F.col("node"), "left").select(listed["*"], F.coalesce("component", "doc").alias("component")).checkpoint()
+            # what is left of a key: pairs of later members with members of other components, at most
+            per = known.where(F.col("at") >= low).groupBy("key", "component").count()
             left = per.groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("q")).agg(F.sum(F.col("n") * F.col("n") - F.col("q"))).first()[0] or 0
             if left == 0:
                 break
             if left <= 2 * LAST_ROUND * members:
-                in_turn, high = (F.col("top") >= SHORT_LIST) & (F.col("at") >= low), longest + 1
-        pairs = between(in_turn).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+                in_turn, high = F.col("at") >= low, longest + 1
+        x, y = known.where(in_turn).alias("x"), known.alias("y")
+        fits = (F.col("x.at") < F.col("y.at")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & fits).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
         found = found.unionByName(_verified(pairs, sets, percent)).checkpoint()
         labels = connected(found).checkpoint()
-        low = high
-    return found
+        low, high = high, 2 * high + 1
+    return labels if labels is not None else connected(found)
 
 
 def join(docs: DataFrame, *, words: int = 5, percent: int = 80, group_bytes: int = exchange.GROUP_BYTES) -> DataFrame:
@@ -322,7 +320,7 @@ def join(docs: DataFrame, *, words: int = 5, percent: int = 80, group_bytes: int
         raise ValueError("percent must be in (50, 100]")
     use_checkpoints(docs.sparkSession)
     blobs = _tables(docs, words, percent, group_bytes).checkpoint()
-    labels = connected(links(blobs, percent))
+    labels = linked(blobs, percent)
     rows = _rows(blobs)
     labelled = rows.join(labels, rows["rep"] == labels["node"], "left").select("doc", "size", F.coalesce("component", "rep").alias("component"))
     back = lambda c: F.when(F.col(c) == F.lit(int(NULL_ID)), F.lit(None)).otherwise(F.col(c))

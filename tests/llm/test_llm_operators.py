@@ -243,6 +243,8 @@ def test_ngram_join_of_a_large_group_of_near_copies(make):
         rows.append((i, " ".join(w)))
     long = [f"v{k}" for k in range(300)]
     rows += [(200 + i, " ".join(x if k != 7 * i else f"d{i}" for k, x in enumerate(long))) for i in range(40)]
+    short = [f"s{k}" for k in range(44)]
+    rows += [(400 + i, " ".join([f"e{rng.randrange(99)}"] * (i % 3) + short[i % 3 : 44 - i % 4] + [f"f{rng.randrange(99)}"] * (i % 4))) for i in range(60)]
     rows += [(300 + i, " ".join(base[:80]) + " " + " ".join(f"u{i}-{k}" for k in range(60))) for i in range(40)]
     assert bag(ngram_join.join(make(rows), group_bytes=8000), "doc_id", "n_shingles", "component_id") == Counter(brute.ngram_join(rows))
 
