@@ -113,7 +113,7 @@ class Group:
         return known, np.bincount(place, weights=self.train, minlength=len(known)).astype(np.int64), place
 
 
-def score(docs: DataFrame, *, folds: int = 7, held: int = 2, group_bytes: int = 2 * exchange.GROUP_BYTES) -> DataFrame:
+def score(docs: DataFrame, *, folds: int = 7, held: int = 2, group_bytes: int = exchange.GROUP_BYTES * 3 // 2) -> DataFrame:
     """Score every whole text under the model of the documents with crc32(doc_id) % folds != held.
 
     Returns one row per row of ``docs``: doc_id, held_out, n_tokens (words and
