@@ -12,6 +12,7 @@ executor's groups and buckets are computed anew from the same rows.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Callable, Iterable, Iterator
 
@@ -20,6 +21,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from curalith.llm.text import texts
 
@@ -83,8 +86,18 @@ def canonical(table: pa.Table) -> tuple[pa.Table, list[int | None], list[bytes]]
     return table.take(pa.array(order, pa.int64())), [ids[i] for i in order], [data[i] for i in order]
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: a worker lives on between groups."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
 def _rows(rows: Iterable[tuple[int, int, bytes]]) -> pa.Table:
     rows = list(rows)
+    tidy()
     return pa.table({"grp": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "blob": pa.array([r[2] for r in rows], pa.binary())})
 
 
@@ -126,13 +139,19 @@ def answer(asked: DataFrame, reply: Callable[[int, list[tuple[int, bytes]]], Ite
     return asked.groupBy("bucket").applyInArrow(run, BLOBS)
 
 
-def finish(docs: DataFrame, answers: DataFrame, last: Callable[[int, pa.Table, list, list[bytes], list[tuple[int, bytes]]], pa.Table], schema: str) -> DataFrame:
+def finish(docs: DataFrame, answers: DataFrame, last: Callable[[int, pa.Table, list, list[bytes], list[tuple[int, bytes]]], pa.Table], schema: str | StructType) -> DataFrame:
     """last(grp, rows, ids, texts, [(bucket, blob)]) -> the group's rows of the result."""
 
-    def run(table: pa.Table, answer: pa.Table) -> pa.Table | None:
-        grp = table.column("grp")[0].as_py() if table.num_rows else 0
+    nothing = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema).empty_table()
+
+    def run(table: pa.Table, answer: pa.Table) -> pa.Table:
+        if table.num_rows == 0:  # answers for a group without documents
+            return nothing
+        grp = table.column("grp")[0].as_py()
         rows, ids, data = canonical(table)
-        return last(grp, rows, ids, data, _pairs(answer, "bucket"))
+        out = last(grp, rows, ids, data, _pairs(answer, "bucket"))
+        tidy()
+        return out
 
     return docs.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(run, schema)
 

@@ -47,25 +47,29 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
-    """Index of the leftmost least of values[i : i + width], for each i with a whole window."""
-    v, at = values, np.arange(len(values), dtype=np.int32)
+    """Index of the leftmost least of values[i : i + width], for each i with a whole window.
+
+    Values (uint64) count by their leading bits; the place takes the others, so
+    that one minimum decides both.
+    """
+    bits = np.uint64(max(20, len(values).bit_length()))
+    v = values >> bits << bits | np.arange(len(values), dtype=np.uint64)
     have = 1
     while have < width:
         step = min(have, width - have)
-        right = v[step:] < v[:-step]
-        at = np.where(right, at[step:], at[:-step])
-        v = np.where(right, v[step:], v[:-step])
+        v = np.minimum(v[:-step], v[step:])
         have += step
-    return at
+    return (v & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
 @dataclass
 class Segments:
-    """Segments of a chunk of documents, in order: the document, the first window's place, the number of windows, the anchor's hash and the content's."""
+    """Segments of a chunk of documents, in order: the document, the first window's place, the number of windows, the anchor's place after it, the anchor's hash and the content's."""
 
     doc: np.ndarray
     start: np.ndarray
     windows: np.ndarray
+    place: np.ndarray
     anchor: np.ndarray
     content: np.ndarray
 
@@ -81,19 +85,23 @@ def segments(symbols: np.ndarray, lengths: np.ndarray, window: int, k: int) -> S
     grams = mix((prefix[k:] - prefix[:-k]) * down[: n + 1 - k])
     anchor_of = least(grams, window - k + 1)
     ends = np.cumsum(lengths)
-    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-    at = np.arange(len(anchor_of))
-    valid = at + window <= ends[owner[: len(at)]]
-    x = at[valid]
+    tail = np.minimum(lengths, window - 1)  # places whose window would leave the document
+    valid = np.ones(n, bool)
+    valid[np.repeat(ends - np.cumsum(tail), tail) + np.arange(int(tail.sum()))] = False
+    x = np.flatnonzero(valid[: len(anchor_of)])
     if len(x) == 0:
         return None
-    a = anchor_of[valid]
+    a = anchor_of[x]
     first = np.flatnonzero(np.diff(a, prepend=-1))
     start = x[first]
     count = np.diff(np.append(first, len(x)))
     size = count + window - 1
-    content = mix((prefix[start + size] - prefix[start]) * down[start] ^ (a[first] - start).astype(np.uint64) * np.uint64(BASE) ^ size.astype(np.uint64))
-    return Segments(owner[start], start, count, grams[a[first]], content)
+    place = a[first] - start
+    return Segments(np.searchsorted(ends, start, "right"), start, count, place, grams[a[first]], _content(prefix, down, start, size, place))
+
+
+def _content(prefix: np.ndarray, down: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix((prefix[start + size] - prefix[start]) * down[start] ^ place.astype(np.uint64) * np.uint64(BASE) ^ size.astype(np.uint64))
 
 
 def chunks(lengths: list[int]) -> Iterable[tuple[int, int]]:
@@ -119,8 +127,8 @@ def group_segments(docs: list[np.ndarray], hashed: Callable[[np.ndarray], np.nda
             s.doc = s.doc + a
             parts.append(s)
     if not parts:
-        return Segments(*[np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64)])
-    return Segments(*[np.concatenate([getattr(p, f) for p in parts]) for f in ("doc", "start", "windows", "anchor", "content")])
+        return Segments(*[np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)])
+    return Segments(*[np.concatenate([getattr(p, f) for p in parts]) for f in ("doc", "start", "windows", "place", "anchor", "content")])
 
 
 @dataclass
@@ -134,6 +142,26 @@ class Entries:
     symbols: np.ndarray  # of all segments, behind one another
 
 
+#: Stands for the anchor's place where an entry is a window of its own.
+SINGLE = 65_535
+
+
+def received(windows: np.ndarray, place: np.ndarray, weight: np.ndarray, symbols: np.ndarray, hashed: Callable[[np.ndarray], np.ndarray], window: int, k: int) -> Entries:
+    """Entries as they came, their hashes computed anew from the symbols: hashes don't compress, so they don't travel."""
+    size = windows.astype(np.int64) + window - 1
+    start = np.cumsum(size) - size
+    values = hashed(symbols)
+    up, down = _powers(len(values) + 1)
+    prefix = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], dtype=np.uint64, out=prefix[1:])
+    alone = place == SINGLE
+    at = start + np.where(alone, 0, place)
+    anchor = mix((prefix[at + k] - prefix[at]) * down[at])
+    content = _content(prefix, down, start, size, place)
+    single = mix((prefix[start + window] - prefix[start]) * down[start] ^ np.uint64(window))
+    return Entries(np.where(alone, single, anchor), np.where(alone, single, content), windows, weight, symbols)
+
+
 def window_hashes(symbols: np.ndarray, size: int) -> np.ndarray:
     up, down = _powers(len(symbols) + 1)
     prefix = np.zeros(len(symbols) + 1, np.uint64)
@@ -153,12 +181,14 @@ def verdicts(
     hot_groups: int,
     weigh: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, Callable]],
     decide: Callable[[list[Entries]], list[np.ndarray]],
+    later_too: bool,
 ) -> tuple[DataFrame, Callable[[list, list[tuple[int, bytes]]], list[np.ndarray]]]:
     """(blobs of answers by group, a function that turns a group's answers into the covered symbols of each document).
 
-    ``weigh(ids of occurrences, entry of each)`` -> a value for each entry.
-    ``decide(entries of each group)`` -> for each group, one value for each
-    window of its entries; ``covered(ids, value)`` below compares.
+    ``weigh(ids of occurrences, first of each entry)`` -> a value for each
+    entry.  ``decide(entries of each group)`` -> for each group, whether each
+    window of its entries repeats elsewhere.  With ``later_too``, that is asked
+    for an entry's smallest id only, and the group's larger ids repeat it anyway.
     """
     shift = np.uint64(64 - bits)
 
@@ -201,7 +231,7 @@ def verdicts(
         hit = known[at] == s.anchor >> shift
         is_hot = hit & hot[at]
         plain = np.flatnonzero(hit & ~is_hot)
-        doc, start, count, anchor, content = s.doc[plain], s.start[plain], s.windows[plain], s.anchor[plain], s.content[plain]
+        doc, start, count, place, anchor, content = (getattr(s, f)[plain] for f in ("doc", "start", "windows", "place", "anchor", "content"))
         single = np.flatnonzero(is_hot)
         if len(single):  # windows of their own
             reps = s.windows[single]
@@ -212,9 +242,9 @@ def verdicts(
                 mine = d == i
                 h[mine] = window_hashes(hashed(own[i]), window)[x[mine]]
             doc, start, count = np.concatenate([doc, d]), np.concatenate([start, x]), np.concatenate([count, np.ones(len(d), np.int64)])
-            anchor, content = np.concatenate([anchor, h]), np.concatenate([content, h])
+            place, anchor, content = np.concatenate([place, np.full(len(d), SINGLE)]), np.concatenate([anchor, h]), np.concatenate([content, h])
         order = np.lexsort((content, anchor))
-        doc, start, count, anchor, content = doc[order], start[order], count[order], anchor[order], content[order]
+        doc, start, count, place, anchor, content = doc[order], start[order], count[order], place[order], anchor[order], content[order]
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(anchor) != 0) | (np.diff(content) != 0) | (np.diff(count) != 0)
         entry = np.cumsum(new) - 1
@@ -224,7 +254,7 @@ def verdicts(
         for b, part in exchange.by_bucket(anchor[lead], groups):
             e = lead[part]
             text = np.concatenate([own[i][x : x + n + window - 1] for i, x, n in zip(doc[e].tolist(), start[e].tolist(), count[e].tolist(), strict=True)])
-            yield b, exchange.pack("entries", anchor[e], content[e], count[e].astype(np.int32), weight[part], text)
+            yield b, exchange.pack("entries", count[e].astype(np.uint16), place[e].astype(np.uint16), weight[part], text)
         # the way back: which segment of which document each entry stands for, echoed by a bucket of the group's own
         yield grp % groups, exchange.pack("places", doc.astype(np.int32), start.astype(np.int64), entry.astype(np.int32), count[lead].astype(np.int32))
 
@@ -235,21 +265,21 @@ def verdicts(
             if kind == "places":
                 yield g, blob
             else:
-                entries.append(Entries(*rest))
+                entries.append(received(*rest, hashed, window, k))
                 owners.append(g)
         if entries:
-            for g, values in zip(owners, decide(entries), strict=True):
-                yield g, exchange.pack("values", values)
+            for g, hits in zip(owners, decide(entries), strict=True):
+                yield g, exchange.pack("hits", np.packbits(hits), len(hits))
 
-    def read(ids: list, lengths: list[int], answers: list[tuple[int, bytes]], covers: Callable) -> list[np.ndarray | None]:
-        """For each document the difference array of its coverage, None where nothing is removed."""
+    def read(ids: list, lengths: list[int], answers: list[tuple[int, bytes]]) -> list[np.ndarray | None]:
+        """For each document which of its symbols are covered, None where nothing is removed."""
         places, values = None, []
         for _, blob in answers:
             kind, *rest = exchange.unpack(blob)
             if kind == "places":
                 places = rest
             else:
-                values.append(rest[0])
+                values.append(np.unpackbits(rest[0], count=rest[1]).astype(bool))
         out: list[np.ndarray | None] = [None] * len(ids)
         if places is None or not values:
             return out
@@ -260,8 +290,11 @@ def verdicts(
         inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
         d, x, v = np.repeat(doc, reps), np.repeat(start, reps) + inner, value[np.repeat(begin[entry], reps) + inner]
         id_of = np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
-        hit = covers(id_of[d], v)
-        d, x = d[hit], x[hit]
+        if later_too:
+            least_id = np.full(len(count), np.iinfo(np.int64).max)
+            np.minimum.at(least_id, entry, id_of[doc])
+            v |= np.repeat(id_of[doc] > least_id[entry], reps)
+        d, x = d[v], x[v]
         order = np.argsort(d, kind="stable")
         d, x = d[order], x[order]
         edges = np.flatnonzero(np.diff(d, prepend=-1, append=-1))

@@ -97,7 +97,7 @@ class SuffixAutomaton:
 
 
 def decide(entries: list[repeats.Entries], window: int) -> list[np.ndarray]:
-    """For each group's windows their number of occurrences in the corpus, 2 standing for more where that is enough."""
+    """For each group's windows whether they occur twice or more in the corpus."""
     segment, lead, begin, sizes, symbols, anchor, count = repeats.collapse(entries, window)
     weight = np.zeros(len(lead), np.int64)
     np.add.at(weight, segment, np.concatenate([e.weight for e in entries]))
@@ -126,7 +126,7 @@ def decide(entries: list[repeats.Entries], window: int) -> list[np.ndarray]:
             if held >= SHARD_SYMBOLS:
                 flush()
     flush()
-    return repeats.spread(values, segment, entries)
+    return [v >= 2 for v in repeats.spread(values, segment, entries)]
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -135,7 +135,7 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def dedup(docs: DataFrame, *, min_words: int = 35, anchor_words: int = 20, hot_groups: int = 48, carry: bool = False, group_bytes: int = exchange.GROUP_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, *, min_words: int = 35, anchor_words: int = 20, hot_groups: int = 1024, carry: bool = False, group_bytes: int = exchange.GROUP_BYTES) -> DataFrame:
     """Remove each word covered by a run of ``min_words`` words that also starts anywhere else.
 
     All occurrences go, the first too; runs never cross documents and are
@@ -161,11 +161,12 @@ def dedup(docs: DataFrame, *, min_words: int = 35, anchor_words: int = 20, hot_g
         hot_groups=hot_groups,
         weigh=lambda ids, lead: np.diff(np.append(lead, len(ids))),
         decide=lambda entries: decide(entries, min_words),
+        later_too=False,
     )
 
     def last(grp: int, rows: pa.Table, ids: list, data: list[bytes], got: list[tuple[int, bytes]]) -> pa.Table:
         words = [t.split() for t in data]
-        covered = read(ids, [len(w) for w in words], got, lambda own, n: n >= 2)
+        covered = read(ids, [len(w) for w in words], got)
         kept: list[bytes] = []
         spans: list[list[dict]] = []
         removed: list[int] = []

@@ -26,8 +26,8 @@ from curalith.llm.text import mix, sha256_hex
 #: Bytes hash through a fixed table, so that their values aren't small numbers.
 BYTE_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(repeats.BASE))
 #: Symbols of segments that are indexed at a time; anchors with more go alone.
-BATCH = 1 << 18
-SHARDS = 4
+BATCH = 1 << 16
+SHARDS = 3
 
 
 @dataclass
@@ -54,7 +54,7 @@ def transform(symbols: np.ndarray, sizes: np.ndarray) -> Shard:
     matrix[np.arange(wide) >= left[:, None]] = 0
     keys = matrix.view(">u8").astype(np.uint64)
     order = np.lexsort((string, left, *[keys[:, j] for j in range(keys.shape[1] - 1, -1, -1)]))
-    before = np.where(offset > 0, padded[np.maximum(at - 1, 0)].astype(np.int16) + 1, 0).astype(np.int16)
+    before = np.where(offset > 0, padded[np.maximum(at - 1, 0)].astype(np.uint16) + 1, 0).astype(np.uint16)
     return Shard(before[order], string[order], offset[order], len(sizes))
 
 
@@ -62,22 +62,27 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(source of each suffix in merged order, common prefix with the one before it; -1 stands for ``depth`` or more)."""
     sizes = [len(s.bwt) for s in shards]
     n, strings = sum(sizes), sum(s.strings for s in shards)
-    source = np.repeat(np.arange(len(shards), dtype=np.int8), sizes)
-    ends = np.repeat(np.arange(len(shards), dtype=np.int8), [s.strings for s in shards])
+    source = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
+    ends = np.repeat(np.arange(len(shards), dtype=np.uint8), [s.strings for s in shards])
+    values, symbols = np.unique(np.concatenate([s.bwt for s in shards]), return_inverse=True)  # 0, the end, stays the least
+    symbols = symbols.astype(np.uint8 if len(values) <= 256 else np.uint16)
+    wide = np.int32 if n < 1 << 22 else np.int64
     prefix = np.full(n, -1, np.int16)
     prefix[:1] = 0
-    block = np.zeros(n, np.int64)
-    symbol = np.empty(n, np.int16)
+    block = np.zeros(n, wide)
+    symbol = np.empty_like(symbols)
+    boundary = np.ones(n, bool)  # sentinels differ from one another
+    known = np.zeros(n, bool)
+    known[:1] = True
     for h in range(depth):
-        for j, s in enumerate(shards):
-            symbol[source == j] = s.bwt
+        symbol[np.argsort(source, kind="stable")] = symbols  # each source's symbols in turn
         order = np.argsort(symbol, kind="stable")[strings:]
         source = np.concatenate([ends, source[order]])
-        boundary = np.ones(n, bool)  # sentinels differ from one another
-        c, b = symbol[order], block[order]
-        boundary[strings + 1 :] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
-        prefix[boundary & (prefix < 0)] = h
-        block = np.cumsum(boundary)
+        both = block[order] * wide(512) + symbol[order]
+        boundary[strings + 1 :] = both[1:] != both[:-1]
+        prefix[boundary > known] = h
+        known |= boundary
+        block = np.cumsum(boundary, dtype=wide)
     return source, prefix
 
 
@@ -108,7 +113,7 @@ def window_minima(symbols: list[np.ndarray], values: np.ndarray, shard_of: np.nd
 
 
 def decide(entries: list[repeats.Entries], window: int) -> list[np.ndarray]:
-    """For each group's windows the smallest doc_id that holds them anywhere."""
+    """For each group's windows whether a document of smaller id than the entry's least holds them."""
     segment, lead, begin, sizes, symbols, anchor, count = repeats.collapse(entries, window)
     least = np.full(len(lead), np.iinfo(np.int64).max, np.int64)
     np.minimum.at(least, segment, np.concatenate([e.weight for e in entries]))
@@ -133,10 +138,10 @@ def decide(entries: list[repeats.Entries], window: int) -> list[np.ndarray]:
             if held >= BATCH:
                 flush()
     flush()
-    return repeats.spread(values, segment, entries)
+    return [v < np.repeat(e.weight, e.windows) for v, e in zip(repeats.spread(values, segment, entries), entries, strict=True)]
 
 
-def dedup(docs: DataFrame, *, min_bytes: int = 50, anchor_bytes: int = 36, hot_groups: int = 48, carry: bool = False, group_bytes: int = exchange.GROUP_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, *, min_bytes: int = 50, anchor_bytes: int = 34, hot_groups: int = 1024, carry: bool = False, group_bytes: int = exchange.GROUP_BYTES // 2) -> DataFrame:
     """Remove every byte covered by a string of ``min_bytes`` that also starts in a document of smaller doc_id.
 
     Texts are UTF-8 bytes; strings never cross documents and are judged on the
@@ -163,10 +168,11 @@ def dedup(docs: DataFrame, *, min_bytes: int = 50, anchor_bytes: int = 36, hot_g
         hot_groups=hot_groups,
         weigh=lambda ids, lead: np.minimum.reduceat(ids, lead) if len(lead) else np.empty(0, np.int64),
         decide=lambda entries: decide(entries, min_bytes),
+        later_too=True,
     )
 
     def last(grp: int, rows: pa.Table, ids: list, data: list[bytes], got: list[tuple[int, bytes]]) -> pa.Table:
-        covered = read(ids, [len(t) for t in data], got, lambda own, least: least < own)
+        covered = read(ids, [len(t) for t in data], got)
         kept: list[bytes] = []
         spans: list[list[dict]] = []
         removed: list[int] = []
