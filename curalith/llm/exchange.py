@@ -48,6 +48,15 @@ def unpack_sorted(planes: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def planes(values: np.ndarray) -> np.ndarray:
+    """Byte planes of uint32: small numbers compress better apart from their zero bytes."""
+    return np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+
+
+def unplanes(parts: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(parts.T).view(np.uint32).ravel()
+
+
 def group_count(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> int:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(1, -(-total // group_bytes))

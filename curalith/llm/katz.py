@@ -113,7 +113,7 @@ class Group:
         return known, np.bincount(place, weights=self.train, minlength=len(known)).astype(np.int64), place
 
 
-def score(docs: DataFrame, *, folds: int = 7, held: int = 2, group_bytes: int = exchange.GROUP_BYTES * 3 // 2) -> DataFrame:
+def score(docs: DataFrame, *, folds: int = 7, held: int = 2, group_bytes: int = exchange.GROUP_BYTES * 7 // 4) -> DataFrame:
     """Score every whole text under the model of the documents with crc32(doc_id) % folds != held.
 
     Returns one row per row of ``docs``: doc_id, held_out, n_tokens (words and
@@ -158,7 +158,7 @@ def score(docs: DataFrame, *, folds: int = 7, held: int = 2, group_bytes: int =
             lead = np.flatnonzero(np.diff(context[s], prepend=-1))
             sizes = np.diff(np.append(lead, s.stop - s.start))
             following = np.ascontiguousarray((g.hashes[token[s]] >> DROP).view(np.uint8).reshape(-1, 8).T[:6])
-            yield b, exchange.pack("bigrams", exchange.pack_sorted(g.hashes[context[s]][lead]), sizes.astype(np.uint32), following, own[s].astype(np.uint32), counts[token[s]].astype(np.uint32), summary)
+            yield b, exchange.pack("bigrams", exchange.pack_sorted(g.hashes[context[s]][lead]), sizes.astype(np.uint32), following, exchange.planes(own[s]), exchange.planes(counts[token[s]]), summary)
         yield grp % groups, exchange.pack("own", counts, summary)
 
     def tell_bigrams(bucket: int, asked: list[tuple[int, bytes]]) -> Iterable[tuple[int, bytes]]:
@@ -177,7 +177,7 @@ def score(docs: DataFrame, *, folds: int = 7, held: int = 2, group_bytes: int =
         known, context_place = np.unique(np.concatenate(contexts), return_inverse=True)
         context = np.repeat(context_place, np.concatenate([p[1] for p in parts]))
         following = np.concatenate([np.ascontiguousarray(np.vstack([p[2], np.zeros((2, p[2].shape[1]), np.uint8)]).T).view(np.uint64).ravel() for p in parts])
-        own, word_count = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (3, 4))
+        own, word_count = (np.concatenate([exchange.unplanes(p[k]) for p in parts]).astype(np.int64) for k in (3, 4))
         order = np.lexsort((following, context))
         starts = np.ones(len(order), bool)
         starts[1:] = (np.diff(context[order]) != 0) | (np.diff(following[order]) != 0)
@@ -195,8 +195,9 @@ def score(docs: DataFrame, *, folds: int = 7, held: int = 2, group_bytes: int =
         at = context_at = 0
         for g, p, c in zip(owners, parts, contexts, strict=True):
             rows = context_place[context_at : context_at + len(c)]
-            yield g, exchange.pack("told", r[at : at + len(p[3])].astype(np.uint32), np.ascontiguousarray(table[0, rows]), table[1:, rows].astype(np.uint32))
-            at += len(p[3])
+            n = p[3].shape[1]
+            yield g, exchange.pack("told", exchange.planes(r[at : at + n]), np.ascontiguousarray(table[0, rows]), table[1:, rows].astype(np.uint32))
+            at += n
             context_at += len(c)
 
     def last(grp: int, rows: pa.Table, ids: list, data: list[bytes], answers: list[tuple[int, bytes]]) -> pa.Table:
@@ -213,7 +214,7 @@ def score(docs: DataFrame, *, folds: int = 7, held: int = 2, group_bytes: int =
                 told.append(rest)
         code, _, place = g.bigrams()
         context, token = np.divmod(code, len(g.hashes))
-        r = np.concatenate([t[0] for t in told]).astype(np.int64)
+        r = np.concatenate([exchange.unplanes(t[0]) for t in told]).astype(np.int64)
         below = np.concatenate([t[1] for t in told])
         table = np.concatenate([t[2] for t in told], axis=1).astype(float)
         d = discounts(of_count)
