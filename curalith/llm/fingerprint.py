@@ -4,8 +4,8 @@ A text becomes tokens: its words, long ones cut into pieces.  A run of K tokens
 is an anchor (a closed syncmer) if the smallest hash among its runs of S tokens
 stands first or last in it.  That depends on the K tokens alone, so an edit
 changes no anchor that doesn't overlap it, wherever the text has shifted to.  A
-fingerprint holds the smallest anchor hashes of a text; two fingerprints are as
-alike as the share of common anchors among the smallest of their union.
+fingerprint holds all anchor hashes of a text in the order of their positions;
+two fingerprints are as alike as the share of anchors that match in one order.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from curalith.llm.quality import SPACE, let
 K, S = 5, 2
 #: Code points of a token at most.
 PIECE = 6
-#: Hashes of a fingerprint at most; its error is about 1 / (2 * sqrt(SIZE)).
-SIZE = 128
+#: The lower half of a packed pair of numbers.
+LOW = 0xFFFFFFFF
 
 
 def tokens(text: Column) -> Column:
@@ -30,7 +30,7 @@ def tokens(text: Column) -> Column:
 
 
 def anchors(text: Column) -> Column:
-    """The text's SIZE smallest anchor hashes (32 bits, ascending); empty without a token.
+    """The hashes of all of the text's anchors (32 bits) in its order, repeated ones as often as they occur; empty without a token.
 
     K - 1 marks stand before the first token, so that short texts have runs too;
     the first run always counts.
@@ -42,10 +42,10 @@ def anchors(text: Column) -> Column:
         def anchor(x: Column, i: Column) -> Column:
             edge = F.least(x, F.get(m, i + (inner - 1)))
             middle = F.least(*[F.get(m, i + j) for j in range(1, inner - 1)])
-            return F.when((edge <= middle) | (i == 0), F.xxhash64(*[F.get(h, i + j) for j in range(K)]).bitwiseAND(F.lit(0xFFFFFFFF)))
+            return F.when((edge <= middle) | (i == 0), F.xxhash64(*[F.get(h, i + j) for j in range(K)]).bitwiseAND(F.lit(LOW)))
 
         runs = F.slice(m, 1, F.greatest(F.size(m) - (inner - 1), F.lit(0)))
-        return F.slice(F.sort_array(F.array_distinct(F.array_compact(F.transform(runs, anchor)))), 1, SIZE)
+        return F.array_compact(F.transform(runs, anchor))
 
     def of_hashes(h: Column) -> Column:
         m = F.transform(F.slice(h, 1, F.size(h) - (S - 1)), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, S)]))
@@ -55,12 +55,82 @@ def anchors(text: Column) -> Column:
     return F.when(F.trim(F.coalesce(text, F.lit("")), F.lit(SPACE)) == "", F.array().cast("array<bigint>")).otherwise(found)
 
 
+def _packed(high: Column, low: Column) -> Column:
+    return F.shiftleft(high.cast("bigint"), 32).bitwiseOR(low.cast("bigint"))
+
+
+def _same_start(a: Column, b: Column) -> Column:
+    """Number of first elements that two arrays have in common."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(differs == 0, F.size(a)).otherwise(differs - 1).cast("int")
+
+
+def _starts(x: Column, follows) -> Column:
+    """Indices of the elements that don't follow their predecessor: where runs start."""
+    return F.array_compact(F.transform(x, lambda e, k: F.when((k == 0) | ~F.coalesce(follows(F.get(x, k - 1), e), F.lit(False)), k)))
+
+
+def _pairs(a: Column, b: Column) -> Column:
+    """Positions in both arrays, packed, of a hash's first occurrence in each, its second in each, and so on."""
+    side = 1 << 31
+    merged = F.sort_array(F.concat(F.transform(a, lambda x, i: _packed(x, i)), F.transform(b, lambda x, i: _packed(x, i.bitwiseOR(F.lit(side))))))
+
+    def of_runs(s: Column, t: Column) -> Column:  # a run is a hash's occurrences in one of the arrays
+        kind = lambda r: F.shiftright(F.get(s, F.get(t, r)), 31)
+        both = F.array_compact(F.transform(t, lambda _, r: F.when((r > 0) & (kind(r).bitwiseAND(F.lit(1)) == 1) & (kind(r) - 1 == kind(r - 1)), r)))
+        start = lambda r: F.coalesce(F.get(t, r), F.size(s))
+        steps = lambda r: F.sequence(F.lit(0), F.least(start(r) - start(r - 1), start(r + 1) - start(r)) - 1)
+        place = lambda i: F.get(s, i).bitwiseAND(F.lit(side - 1))
+        return F.flatten(F.transform(both, lambda r: F.transform(steps(r), lambda k: _packed(place(start(r - 1) + k), place(start(r) + k)))))
+
+    return let(merged, lambda s: let(_starts(s, lambda x, y: F.shiftright(x, 31) == F.shiftright(y, 31)), lambda t: of_runs(s, t)))
+
+
+def _longest_chain(ranks: Column) -> Column:
+    """Length of the longest ascending subsequence of a permutation of 0, 1, ...
+
+    Runs of successive numbers go as a whole: no other element lies within one,
+    in position or value.  The state has (last number, length) of the chains
+    that none with a smaller last number is as long as.
+    """
+
+    def extend(chains: Column, run: Column) -> Column:
+        value = F.shiftleft(F.shiftright(run, 32), 32)
+
+        def grown(below: Column) -> Column:
+            length = F.coalesce(F.get(below, F.size(below) - 1).bitwiseAND(F.lit(LOW)), F.lit(0)) + run.bitwiseAND(F.lit(LOW))
+            return let(length, lambda n: F.concat(below, F.array(value.bitwiseOR(n)), F.filter(chains, lambda c: (c > value) & (c.bitwiseAND(F.lit(LOW)) > n))))
+
+        return let(F.filter(chains, lambda c: c < value), grown)
+
+    def of_runs(v: Column, t: Column) -> Column:
+        runs = F.transform(t, lambda at, r: _packed(F.get(v, at), F.coalesce(F.get(t, r + 1), F.size(v)) - at))
+        chains = F.aggregate(runs, F.array().cast("array<bigint>"), extend, lambda chains: F.element_at(chains, -1).bitwiseAND(F.lit(LOW)))
+        return F.when(F.size(t) <= 1, F.size(v).cast("bigint")).otherwise(chains)
+
+    return let(ranks, lambda v: let(_starts(v, lambda x, y: x + 1 == y), lambda t: of_runs(v, t)))
+
+
+def _matches(a: Column, b: Column) -> Column:
+    """Elements that match in one order: the common start, the common end, and the longest chain of pairs between."""
+
+    def between(x: Column, y: Column) -> Column:
+        in_b = lambda p: F.sort_array(F.transform(p, lambda e, k: _packed(e.bitwiseAND(F.lit(LOW)), k)))
+        ranks = let(F.sort_array(_pairs(x, y)), lambda p: F.transform(in_b(p), lambda e: e.bitwiseAND(F.lit(LOW))))
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0).cast("bigint")).otherwise(_longest_chain(ranks))
+
+    def without_end(x: Column, y: Column) -> Column:
+        head = lambda z, n: F.slice(z, F.lit(1), F.size(z) - n)
+        return let(_same_start(F.reverse(x), F.reverse(y)), lambda n: n + let(head(x, n), lambda x: let(head(y, n), lambda y: between(x, y))))
+
+    rest = lambda z, n: F.slice(z, n + 1, F.size(z) - n)
+    return let(_same_start(a, b), lambda n: n + let(rest(a, n), lambda x: let(rest(b, n), lambda y: without_end(x, y))))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: common hashes among the SIZE smallest of the union; two empty fingerprints are alike."""
-    return let(
-        F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE),
-        lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.array_intersect(a, b), u)) / F.size(u)),
-    )
+    """0 to 1: anchors that match in one order, against all of both; two empty fingerprints are alike."""
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise(let(_matches(a, b), lambda n: n / (total - n)))
 
 
 def as_text(a: Column) -> Column:
@@ -121,10 +191,13 @@ def compare(docs: DataFrame) -> DataFrame:
             F.when(F.coalesce(first, F.lit(False)), F.struct(F.lit(True).alias("extra"), F.lit(len(starts)).alias("rng"))),
         )
     )
-    dealt = own.withColumn("print", anchors(F.col("text"))).select("doc_id", "text", "print", F.explode(places).alias("place"))
-    order = Window.partitionBy("place.rng").orderBy("place.extra", F.col("doc_id").asc_nulls_first(), "text")
+    # prints are made behind the exchange and the sort: they are about as large as the texts
+    dealt = own.select("doc_id", "text", F.explode(places).alias("place")).select("doc_id", "text", "place.rng", "place.extra").repartition("rng")
+    within = ["extra", F.col("doc_id").asc_nulls_first(), "text"]
+    printed = dealt.sortWithinPartitions("rng", *within).withColumn("print", anchors(F.col("text")))
+    order = Window.partitionBy("rng").orderBy(*within)
     quarter = F.floor(F.length("text") / 4).cast("int")
-    paired = dealt.select("doc_id", "text", "print", "place", F.lead("text").over(order).alias("next_text"), F.lead("print").over(order).alias("next_print")).where(~F.col("place.extra"))
+    paired = printed.select("doc_id", "text", "print", "extra", F.lead("text").over(order).alias("next_text"), F.lead("print").over(order).alias("next_print")).where(~F.col("extra"))
     edited = paired.select(
         "doc_id", F.length("text").cast("bigint").alias("n_chars"), "print", "next_print", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.when(quarter > 0, F.substring("next_text", F.lit(1), quarter)).otherwise(F.lit(""))).alias("edited")
     )

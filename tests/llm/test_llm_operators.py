@@ -305,6 +305,57 @@ def test_fingerprints_are_context_free(make):
     assert got[1, 2] > 0.9 and got[1, 3] == got[2, 3] == 0
 
 
+def test_fingerprints_keep_all_anchors_in_order(make):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**4)}" for _ in range(3000)]
+    other = [f"x{rng.randrange(10**4)}" for _ in range(40)]
+    texts = [words, words[:1500] + other + words[1540:], words[1500:] + words[:1500]]
+    docs = make([(k, " ".join(t)) for k, t in enumerate(texts)])
+    prints = {r.doc_id: r.p for r in docs.select("doc_id", fingerprint.anchors(F.col("text")).alias("p")).collect()}
+    assert len(prints[0]) > 1200 and prints[0] != prints[1] and prints[0][:500] == prints[1][:500]
+    moved = Counter(prints[0]) & Counter(prints[2])
+    assert sum(moved.values()) > 0.98 * len(prints[0])
+    x, y = docs.select("doc_id", fingerprint.anchors(F.col("text")).alias("p")).alias("x"), docs.select("doc_id", fingerprint.anchors(F.col("text")).alias("p")).alias("y")
+    pairs = x.join(y, F.col("x.doc_id") < F.col("y.doc_id")).select("x.doc_id", "y.doc_id", fingerprint.likeness(F.col("x.p"), F.col("y.p")))
+    got = {(r[0], r[1]): r[2] for r in pairs.collect()}
+    assert 0.95 < got[0, 1] < 1 and 0.3 < got[0, 2] < 0.36  # half of each matches in one order: n / 2 of 3 n / 2
+
+
+def test_likeness_counts_matches_in_one_order(spark):
+    def matches(a, b):
+        n = 0
+        while a and b and a[0] == b[0]:
+            a, b, n = a[1:], b[1:], n + 1
+        while a and b and a[-1] == b[-1]:
+            a, b, n = a[:-1], b[:-1], n + 1
+        numbered = lambda x: [(e, x[:i].count(e)) for i, e in enumerate(x)]
+        a, b = numbered(a), numbered(b)
+        best = [0] * (len(b) + 1)
+        for e in a:
+            row = [0]
+            for j, f in enumerate(b):
+                row.append(best[j] + 1 if e == f else max(best[j + 1], row[j]))
+            best = row
+        return n + best[-1]
+
+    rng = random.Random(8)
+    top = (1 << 32) - 1
+    rows = [([], []), ([], [top]), ([top, 0, 5], [0, 5, top])]
+    for _ in range(150):
+        values = [rng.randrange(top) for _ in range(rng.choice([2, 5, 40]))]
+        a = [rng.choice(values) for _ in range(rng.randrange(40))]
+        b = list(a) if rng.random() < 0.6 else [rng.choice(values) for _ in range(rng.randrange(40))]
+        for _ in range(rng.randrange(4)):
+            i, j = sorted(rng.randrange(len(b) + 1) for _ in range(2))
+            b = b[j:] + b[i:j] + b[:i]
+        rows.append((a, b))
+    got = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").select("a", "b", fingerprint.likeness(F.col("a"), F.col("b"))).collect()
+    assert len(got) == len(rows)
+    for a, b, like in got:
+        n = matches(a, b)
+        assert like == (n / (len(a) + len(b) - n) if a or b else 1)
+
+
 def katz_model(rows):
     uni, bi = Counter(), defaultdict(Counter)
     for i, t in rows:
