@@ -31,7 +31,7 @@ from curalith.llm.text import GOLDEN, mix
 NULL_ID = np.iinfo(np.int64).max
 #: Tokens in more sets than this are frequent.
 FREQUENT = 32
-#: Sets up to LONG * 5 / 4 tokens key pairs of frequent tokens, sets from LONG tokens single ones; any two that fit have one kind in common.
+#: Sets from LONG tokens key frequent tokens singly, sets up to LONG * 100 / percent pairs of them; any two that fit have one kind in common.
 LONG = 48
 #: Members of a key whose pairs are all candidates from the start.
 SHORT_LIST = 4
@@ -190,7 +190,7 @@ def _tables(docs: DataFrame, width: int, percent: int, group_bytes: int) -> Data
             first = np.arange(len(tokens)) < n - _least(n, percent) + 1
             single = first & (f > 1) & ((f <= FREQUENT) | (n >= LONG))
             found = [mix(tokens[single])]
-            if 4 * n <= 5 * LONG:
+            if percent * n <= 100 * LONG:
                 often = tokens[f > FREQUENT]
                 a, b = np.triu_indices(len(often), 1)
                 found.append(mix(mix(often[a]) * GOLDEN + often[b]))

@@ -249,6 +249,15 @@ def test_ngram_join_of_a_large_group_of_near_copies(make):
     assert bag(ngram_join.join(make(rows), group_bytes=8000), "doc_id", "n_shingles", "component_id") == Counter(brute.ngram_join(rows))
 
 
+@pytest.mark.parametrize(("percent", "shared", "more"), [(60, 43, 27), (70, 44, 17)])
+def test_ngram_join_of_long_and_short_sets_at_lower_percent(make, percent, shared, more):
+    base = " ".join(f"w{k}" for k in range(shared + 4))
+    rows = [(i, f"{base} e{i}") for i in range(40)] + [(100, base + "".join(f" x{k}" for k in range(more)))]
+    want = Counter(brute.ngram_join(rows, percent))
+    assert {c for _, _, c in want} == {0}
+    assert bag(ngram_join.join(make(rows), percent=percent, group_bytes=8000), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_representatives(make):
     text = "one two three four five six seven eight nine ten"
     docs = make([(4, text), (2, text), (7, "other words that stand alone in this small table"), (9, None)])
