@@ -360,9 +360,9 @@ def _(spark, sf):
 
 @query(
     "history_lr_changes",
-    f"""with {HISTORY}, l as (select run, row_number() over w as at, lag(learning_rate) over w as before, learning_rate from history window w as (partition by run order by epoch)),
+    f"""with {HISTORY}, l as (select run, row_number() over w as pos, lag(learning_rate) over w as before, learning_rate from history window w as (partition by run order by epoch)),
 m as (select *, before is not null and abs(learning_rate - before) > 1e-12 * greatest(abs(learning_rate), abs(before)) as changed from l)
-select run, count(*) filter (changed) as n_changes, max(at) - coalesce(max(at) filter (changed), 1) as reduce_wait from m group by run""",
+select run, count(*) filter (changed) as n_changes, max(pos) - coalesce(max(pos) filter (changed), 1) as reduce_wait from m group by run""",
 )
 def _(spark, sf):
     return history.learning_rate_changes(histories(spark, sf), "run")
