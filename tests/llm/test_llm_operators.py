@@ -199,7 +199,7 @@ def test_language(make):
         pairs.append((i, " ".join(rng.choice(kinds[lang]) for _ in range(12))))
         langs[i] = lang
     pairs += [(900, None), (901, ""), (902, "123 !?"), (903, "ß" * 500), (None, "stone river")]
-    langs[900] = None
+    langs |= {900: None, 901: None, 902: "aa", 903: None, None: "bb"}
     docs = make(pairs, langs)
     model = langid.fit(docs, PIECES, per_language=40)
     got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
