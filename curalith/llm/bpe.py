@@ -14,18 +14,20 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from curalith.llm.text import sha256_hex, slices, texts
+from curalith.llm.workers import remembered
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words and pieces that a worker remembers at most before it forgets them all.
-MEMO_WORDS = 500_000
+#: Bytes of words, pieces and their results that a worker remembers at most before it forgets them all.
+MEMO_WORD_BYTES = 96 << 20
+#: What an entry weighs beside its key and values: objects, and a place in the table.
+ENTRY_BYTES = 280
 #: Bytes of chunks and of their results that a worker remembers at most.
 MEMO_CHUNK_BYTES = 48 << 20
 
@@ -42,11 +44,17 @@ class _Memo(dict):
     def __init__(self, compute):
         super().__init__()
         self.compute = compute
+        self.held = 0
 
     def __missing__(self, key):
         value = self[key] = self.compute(key)
+        self.held += ENTRY_BYTES + len(key) + len(value[0]) + len(value[1])
         return value
 
+    def clear(self):
+        super().clear()
+        self.held = 0
+
 
 class Encoder:
     """Word-wise exact encoder of one tokenizer file whose pre-tokenizer never crosses ASCII white space.
@@ -99,9 +107,8 @@ class Encoder:
 
     def forget(self) -> None:
         """Called between batches: bounds what the worker holds."""
-        if len(self.words) > MEMO_WORDS:
+        if self.words.held + self.pieces.held > MEMO_WORD_BYTES:
             self.words.clear()
-        if len(self.pieces) > MEMO_WORDS:
             self.pieces.clear()
 
     def run(self, words: list[bytes]) -> tuple[bytes, bytes]:
@@ -114,9 +121,8 @@ class Encoder:
         return b"".join([memo[w][0] for w in text.split()])
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return remembered(("words", path), lambda: Encoder(path))
 
 
 WINDOW = 16  # bytes that the rolling hash sees

@@ -12,8 +12,6 @@ executor's groups and buckets are computed anew from the same rows.
 
 from __future__ import annotations
 
-import ctypes
-import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -25,18 +23,104 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from curalith.llm.text import texts
+from curalith.llm.workers import forget, tidy
 
 BLOBS = "grp int, bucket int, blob binary"
 #: Bytes of text that a group holds on average.
 GROUP_BYTES = 8 << 20
 
 
-def pack(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
-
-
-def unpack(blob: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+#: Blobs under this many bytes aren't compressed: most hold a few hashes, and the shuffle compresses across rows.
+SMALL = 512
+_TYPES = [np.dtype(t) for t in ("u1", "u2", "u4", "u8", "i1", "i2", "i4", "i8", "f8", "?")]
+_CODES = {t: k for k, t in enumerate(_TYPES)}
+#: Codes above those of the array types.
+_INT, _BYTES, _TEXT, _LIST = 100, 101, 102, 103
+
+
+def _size(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def _write(x, out: list[bytes]) -> None:
+    if isinstance(x, np.ndarray):
+        out.append(bytes([_CODES[x.dtype], x.ndim]) + b"".join([_size(n) for n in x.shape]))
+        out.append(np.ascontiguousarray(x).tobytes())
+    elif isinstance(x, bytes):
+        out.append(bytes([_BYTES]) + _size(len(x)) + x)
+    elif isinstance(x, str):
+        raw = x.encode()
+        out.append(bytes([_TEXT]) + _size(len(raw)) + raw)
+    elif isinstance(x, (list, tuple)):
+        out.append(bytes([_LIST]) + _size(len(x)))
+        for y in x:
+            _write(y, out)
+    else:
+        out.append(bytes([_INT]) + int(x).to_bytes(8, "little", signed=True))
+
+
+def _read(raw: bytes, at: int):
+    def size() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            b = raw[at]
+            at += 1
+            n |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return n
+
+    code = raw[at]
+    at += 1
+    if code < len(_TYPES):
+        dims = raw[at]
+        at += 1
+        shape = [size() for _ in range(dims)]
+        count = 1
+        for n in shape:
+            count *= n
+        kind = _TYPES[code]
+        return np.frombuffer(raw, kind, count, at).reshape(shape), at + count * kind.itemsize
+    if code == _INT:
+        return int.from_bytes(raw[at : at + 8], "little", signed=True), at + 8
+    n = size()
+    if code == _LIST:
+        items = []
+        for _ in range(n):
+            item, at = _read(raw, at)
+            items.append(item)
+        return items, at
+    part = raw[at : at + n]
+    return (part if code == _BYTES else part.decode()), at + n
+
+
+def pack(*items) -> bytes:
+    """Arrays, ints, bytes, texts and lists of them in one blob.
+
+    A blob with one key costs a few bytes beside it: with very many groups and
+    buckets most blobs hold no more, and the exchange then costs what as many
+    rows would, in proportion to the keys and not to groups times buckets.
+    """
+    out: list[bytes] = []
+    for x in items:
+        _write(x, out)
+    raw = b"".join(out)
+    return b"\0" + raw if len(raw) < SMALL else b"\1" + zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpack(blob: bytes) -> list:
+    raw = blob[1:] if blob[0] == 0 else zstandard.ZstdDecompressor().decompress(blob[1:])
+    out, at = [], 0
+    while at < len(raw):
+        x, at = _read(raw, at)
+        out.append(x)
+    return out
 
 
 def pack_sorted(values: np.ndarray) -> np.ndarray:
@@ -87,6 +171,7 @@ def by_bucket(sorted_keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slic
 
 def canonical(table: pa.Table) -> tuple[pa.Table, list[int | None], list[bytes]]:
     """The group's rows in an order that doesn't depend on how they arrived, their ids and texts."""
+    forget()
     table = table.combine_chunks()
     ids = table.column("doc_id").to_pylist()
     data = texts(pa.concat_arrays(table.column("text").chunks) if table.num_rows else pa.array([], pa.string()))
@@ -95,15 +180,6 @@ def canonical(table: pa.Table) -> tuple[pa.Table, list[int | None], list[bytes]]
     return table.take(pa.array(order, pa.int64())), [ids[i] for i in order], [data[i] for i in order]
 
 
-def tidy() -> None:
-    """Give freed memory back to the system: a worker lives on between groups."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not the GNU C library
-        pass
-
-
 def _rows(rows: Iterable[tuple[int, int, bytes]]) -> pa.Table:
     rows = list(rows)
     tidy()

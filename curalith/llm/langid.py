@@ -19,10 +19,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curalith.llm.text import crc32_mod, slices
+from curalith.llm.workers import remembered
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
@@ -30,8 +33,12 @@ MARK = "▁"
 PART = 32
 #: Probability of a single character that the vocabulary lacks, the same in all languages.
 FLOOR = 1e-8
-#: Letter runs that a worker remembers at most before it forgets them all.
-MEMO_RUNS = 600_000
+#: Bytes of letter runs and their scores that a worker remembers at most before it forgets them all.
+MEMO_BYTES = 64 << 20
+#: What a remembered run weighs beside its scores.
+RUN_BYTES = 200
+#: Bytes of partial sums that the forward algorithm holds at a time.
+FORWARD_BYTES = 16 << 20
 
 
 @lru_cache(maxsize=2)
@@ -90,6 +97,9 @@ class Model:
     languages: list[str]
     probabilities: np.ndarray
 
+    def key(self) -> tuple:
+        return "language", self.path, tuple(self.languages), xxhash.xxh3_128_hexdigest(np.ascontiguousarray(self.probabilities))
+
 
 def training_rows(docs: DataFrame, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("null")).cast("binary")) % folds != 0
@@ -126,40 +136,61 @@ class Scorer:
         self.p = model.probabilities
         self.k = len(model.languages)
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((0, self.k))
+        self.table = np.zeros((0, self.k))  # grows by doubling; rows in use come first
 
     def learn(self, runs: list[str]) -> None:
-        """The forward algorithm for all runs of one length at a time."""
+        """The forward algorithm for all runs of one length at a time, in blocks of bounded size."""
         new = [r for r in set(runs) if r not in self.rows]
-        if len(self.rows) + len(new) > MEMO_RUNS:
+        if (len(self.rows) + len(new)) * (RUN_BYTES + 8 * self.k) > MEMO_BYTES:
             self.rows, self.table, new = {}, np.zeros((0, self.k)), list(set(runs))
+        at = len(self.rows)
+        if at + len(new) > len(self.table):
+            grown = np.zeros((max(at + len(new), 2 * len(self.table)), self.k))
+            grown[:at] = self.table[:at]
+            self.table = grown
         by_length: dict[int, list[str]] = defaultdict(list)
         for r in new:
             by_length[len(r)].append(r)
-        parts, get, at = [self.table], self.index.get, len(self.table)
         for n, group in by_length.items():
-            alpha = [np.ones((len(group), self.k))]
-            for j in range(1, n + 1):
-                total = np.zeros((len(group), self.k))
-                for i in range(max(0, j - self.longest), j):
-                    if j - i == 1:
-                        ids = np.array([get(r[i], 0) for r in group])
-                        total += alpha[i] * self.p[ids]
-                    else:
-                        ids = np.array([get(r[i:j], -1) for r in group])
-                        hit = np.flatnonzero(ids >= 0)
-                        if len(hit):
-                            total[hit] += alpha[i][hit] * self.p[ids[hit]]
-                alpha.append(total)
-            parts.append(np.log(alpha[-1]))
-            self.rows.update(zip(group, range(at, at + len(group)), strict=True))
-            at += len(group)
-        self.table = np.concatenate(parts)
+            block = max(1, FORWARD_BYTES // (8 * (n + 2) * max(1, self.k)))
+            for a in range(0, len(group), block):
+                part = group[a : a + block]
+                self.table[at : at + len(part)] = self._forward(part, n)
+                self.rows.update(zip(part, range(at, at + len(part)), strict=True))
+                at += len(part)
+
+    def _forward(self, group: list[str], n: int) -> np.ndarray:
+        """Log of the summed probability of all segmentations of runs of ``n`` characters, by language."""
+        get = self.index.get
+        alpha = [np.ones((len(group), self.k))]
+        for j in range(1, n + 1):
+            total = np.zeros((len(group), self.k))
+            for i in range(max(0, j - self.longest), j):
+                if j - i == 1:
+                    ids = np.array([get(r[i], 0) for r in group])
+                    total += alpha[i] * self.p[ids]
+                else:
+                    ids = np.array([get(r[i:j], -1) for r in group])
+                    hit = np.flatnonzero(ids >= 0)
+                    if len(hit):
+                        total[hit] += alpha[i][hit] * self.p[ids[hit]]
+            alpha.append(total)
+        return np.log(alpha[-1])
 
     def score(self, runs: list[str]) -> np.ndarray:
         return self.table[[self.rows[r] for r in runs]].sum(axis=0)
 
 
+#: Bytes of probabilities that may be sent to every executor: the vocabulary times about 250 languages.
+BROADCAST_BYTES = 64 << 20
+
+
+def _send(spark: SparkSession, model: Model) -> tuple[Broadcast, tuple]:
+    if model.probabilities.nbytes > BROADCAST_BYTES:
+        raise ValueError(f"{len(model.languages)} languages are more than a broadcast model may hold")
+    return spark.sparkContext.broadcast(model), model.key()
+
+
 def predict(docs: DataFrame, model: Model, *, folds: int = 5) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score (the language's posterior under a flat prior).
 
@@ -167,11 +198,11 @@ def predict(docs: DataFrame, model: Model, *, folds: int = 5) -> DataFrame:
     without languages.  Reads doc_id and text only.  Map-only; what is sent to
     the executors is bounded by the vocabulary times the number of languages.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = _send(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        scorer = _scorer(id(shared), model)
+        scorer = remembered(key, lambda: Scorer(model))
         for b in slices(batches):
             ids = b.column(0).to_pylist()
             texts = [runs_of(t or "") for t in b.column(1).to_pylist()]
@@ -197,13 +228,15 @@ def predict(docs: DataFrame, model: Model, *, folds: int = 5) -> DataFrame:
 def keep_certain(docs: DataFrame, model: Model, certain: float) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language with a score of at least ``certain``.
 
-    Rows pass as they are; nothing is joined, so repeated ids are no matter.
+    Null texts, texts without a letter, and with a model without languages all
+    rows, go.  Rows pass as they are, with a null id as with any other; nothing
+    is joined, so repeated ids are no matter.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = _send(docs.sparkSession, model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(id(shared), shared.value)
+        scorer = remembered(key, lambda: Scorer(shared.value))
         for b in slices(batches):
             runs = [runs_of(t or "") for t in b.column(at).to_pylist()]
             if shared.value.languages:
@@ -217,14 +250,3 @@ def keep_certain(docs: DataFrame, model: Model, certain: float) -> DataFrame:
 def _posterior(log: np.ndarray) -> tuple[int, float]:
     k = int(np.argmax(log))
     return k, float(1.0 / np.exp(log - log[k]).sum())
-
-
-_SCORERS: dict[int, tuple[Model, Scorer]] = {}
-
-
-def _scorer(key: int, model: Model) -> Scorer:
-    """A worker's scorer outlives a task, so that runs are remembered between tasks."""
-    if key not in _SCORERS or _SCORERS[key][0] is not model:
-        _SCORERS.clear()
-        _SCORERS[key] = (model, Scorer(model))
-    return _SCORERS[key][1]

@@ -3,44 +3,72 @@
 A document's set holds its distinct shingles.  Sets that are equal are joined
 by their hash and stand as one from there on.  All tokens have one order, by
 document frequency and then by hash.  Two sets of Jaccard similarity s or more
-share their two smallest common tokens within prefixes of n - ceil(s n) + 2
-tokens each.  If the smallest is rare, the prefix without its last token finds
-the pair by that token alone; if it is frequent, so is the second, and the
-pair of both is the key: the combinations of two frequent tokens of the
-extended prefix.  Long sets, whose combinations would be many, keep single
-keys for frequent tokens as well.  Every pair that shares a key and whose
-sizes fit is verified on the whole sets, unless both are known to be in one
-component already.
+share their smallest common token within prefixes of n - ceil(s n) + 1 tokens
+each.  If that token is rare, it is the key.  If it is frequent, all common
+tokens are; prefixes extended to the K smallest common tokens then hold, by
+counting the tokens that aren't common, two successive common tokens with at
+most GAP others between them in both sets, and such pairs of frequent tokens
+are the keys.  A set of any size has keys in proportion to its size.  Every
+pair that shares a key and whose sizes fit is verified on the whole sets,
+unless both are known to be in one component already.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curalith.llm import exchange
-from curalith.llm.components import connected, use_checkpoints
+from curalith.llm.components import Tables, connected
 from curalith.llm.text import GOLDEN, mix
 
-NULL_ID = np.iinfo(np.int64).max
+#: Rows without an id are nodes by their text, numbered from here; real ids lie below.
+NO_ID = (1 << 63) - (1 << 48)
 #: Tokens in more sets than this are frequent.
 FREQUENT = 32
-#: Sets from LONG tokens key frequent tokens singly, sets up to LONG * 100 / percent pairs of them; any two that fit have one kind in common.
-LONG = 48
 #: Members of a key whose pairs are all candidates from the start.
 SHORT_LIST = 4
-#: Members of a longer key that meet all others in the first round.
-LEADERS = 4
 #: The last round takes all pairs that are left if they are at most so many times the keys' members.
 LAST_ROUND = 8
 
 
+def common(total: int, percent: int) -> int:
+    """Tokens that two sets of ``total`` tokens together share at least if they link."""
+    return -(-percent * total // (100 + percent))
+
+
+@lru_cache(maxsize=None)
+def gap(percent: int) -> int:
+    """The least gap at which sets that may link, but aren't equal, have enough common tokens for extended()."""
+    for g in range(100):
+        if all((total - 2 * (o := common(total, percent))) // (g + 1) + 2 <= o for total in range(2, 4000) if total > 2 * common(total, percent) and common(total, percent) > 0):
+            return g
+    raise ValueError(percent)
+
+
+@lru_cache(maxsize=100_000)
+def extended(n: int, percent: int) -> int:
+    """Tokens of a set's prefix that holds the K smallest common tokens of any pair that links.
+
+    With D tokens that aren't common in both sets together, K = D // (gap + 1)
+    + 2 common tokens have K - 1 gaps between them, one of which has at most
+    ``gap`` others in both sets.
+    """
+    low, high, g = -(-percent * n // 100), 100 * n // percent, gap(percent)
+    found = 0
+    for m in {*range(low, min(low + 2 * (g + 2) + 20, high) + 1), high}:  # the bound falls with m but for rounding
+        o = common(n + m, percent)
+        found = max(found, n - o + (n + m - 2 * o) // (g + 1) + 2)
+    return min(n, found)
+
+
 def shingle_sets(data: list[bytes], width: int) -> list[np.ndarray]:
     """Each text's distinct shingles of ``width`` words, hashed and ascending; fewer words count as one shingle."""
     words = [t.lower().split() for t in data]
@@ -78,15 +106,21 @@ def _least(sizes: np.ndarray | int, percent: int):
     return (sizes * percent + 99) // 100
 
 
+def _node(docs: DataFrame) -> Column:
+    """A row's node: its id, or a number from its text where it has none."""
+    return F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID) + F.xxhash64(docs["text"]).bitwiseAND(F.lit((1 << 48) - 1)))
+
+
 def _tables(docs: DataFrame, width: int, percent: int, group_bytes: int) -> DataFrame:
-    """Blobs: keys by bucket, and in bucket -1 every row's (id, size, representative) and the sets that have keys."""
+    """A blob for each group: every row's (node, size, representative), the sets that have keys, and their keys."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
     shift = np.uint64(64 - min(64, max(40, math.ceil(math.log2(total + 2)) + 8)))
-    dealt = exchange.grouped(docs, groups)
+    dealt = exchange.grouped(docs.select(_node(docs).alias("doc_id"), "text"), groups)
+    skip = gap(percent)
 
     def numbered(ids: list) -> np.ndarray:
-        return np.array([NULL_ID if i is None else i for i in ids], np.int64)
+        return np.array(ids, np.int64)
 
     def signed(ids: list, sets: list[np.ndarray]):
         """(rows with a token, their distinct signatures in order, the signature of each row)."""
@@ -101,7 +135,7 @@ def _tables(docs: DataFrame, width: int, percent: int, group_bytes: int) -> Data
 
     def ask_sets(grp: int, ids: list, data: list[bytes]) -> Iterable[tuple[int, bytes]]:
         full, marks, which = signed(ids, sets := shingle_sets(data, width))
-        least = np.full(len(marks), NULL_ID, np.int64)
+        least = np.full(len(marks), np.iinfo(np.int64).max, np.int64)
         np.minimum.at(least, which, numbered(ids)[full])
         for b, s in exchange.by_bucket(marks[:, 0], groups):
             yield b, exchange.pack(marks[s], least[s])
@@ -176,74 +210,63 @@ def _tables(docs: DataFrame, width: int, percent: int, group_bytes: int) -> Data
         cat, _, place, _ = tokens_of(sets, rows)
         df = np.concatenate(frequency)[place].astype(np.int64)
         sizes = np.array([len(sets[k]) for k in rows], np.int64)
-        owner = np.repeat(np.arange(len(rows)), sizes)
-        extended = np.minimum(sizes - _least(sizes, percent) + 2, sizes)
-        alone = np.bincount(owner, weights=df == 1, minlength=len(rows))
         begin = np.cumsum(sizes) - sizes
+        alone = np.add.reduceat(df == 1, begin).astype(np.int64) if len(rows) else sizes
+        prefix = sizes - _least(sizes, percent) + 1
         keys, members, kept = [], [], []
-        for i in np.flatnonzero(alone < extended).tolist():
+        # without keys: sets whose prefix holds only tokens of their own, for their smallest common token lies beyond it
+        for i in np.flatnonzero(alone < prefix).tolist():
             n = int(sizes[i])
             part = slice(begin[i], begin[i] + n)
             tokens, f = cat[part], df[part]
-            order = np.lexsort((tokens, f))[: extended[i]]
+            order = np.lexsort((tokens, f))[: max(prefix[i], extended(n, percent))]
             tokens, f = tokens[order], f[order]
-            first = np.arange(len(tokens)) < n - _least(n, percent) + 1
-            single = first & (f > 1) & ((f <= FREQUENT) | (n >= LONG))
-            found = [mix(tokens[single])]
-            if percent * n <= 100 * LONG:
-                often = tokens[f > FREQUENT]
-                a, b = np.triu_indices(len(often), 1)
-                found.append(mix(mix(often[a]) * GOLDEN + often[b]))
+            first = f[: prefix[i]]
+            found = [mix(tokens[: prefix[i]][(first > 1) & (first <= FREQUENT)])]
+            often = tokens[f > FREQUENT]
+            for d in range(1, skip + 2):
+                found.append(mix(mix(often[:-d]) * GOLDEN + often[d:]))
             found = np.concatenate(found)
             if len(found):
                 keys.append(found)
-                members.append(np.full(len(found), i))
+                members.append(np.full(len(found), len(kept), np.int32))
                 kept.append(i)
-        if keys:
-            key, member = np.concatenate(keys), np.concatenate(members)
-            order = np.lexsort((member, key))
-            key, member = key[order], member[order]
-            for b, s in exchange.by_bucket(key, groups):
-                yield b, exchange.pack(exchange.pack_sorted(key[s]), own[rows][member[s]], sizes[member[s]].astype(np.int32))
-        yield -1, exchange.pack(own, np.array([len(s) for s in sets], np.int64), rep, [int(own[rows[i]]) for i in kept], [sets[rows[i]].tobytes() for i in kept])
+        key = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        member = np.concatenate(members) if keys else np.empty(0, np.int32)
+        yield 0, exchange.pack(
+            own, np.array([len(s) for s in sets], np.int64), rep,
+            own[rows][kept] if kept else np.empty(0, np.int64), [sets[rows[i]].tobytes() for i in kept],
+            key, member, sizes[kept] if kept else np.empty(0, np.int64), alone[kept] if kept else np.empty(0, np.int64),
+        )
 
     tell1 = exchange.answer(exchange.ask(dealt, ask_sets), tell_sets)
     tell2 = exchange.answer(exchange.ask_again(dealt, tell1, ask_tokens), tell_tokens)
-    return exchange.ask_again(dealt, tell2, ask_keys)
-
-
-def _lists(blobs: DataFrame) -> DataFrame:
-    """(key, doc, size) of the keys that two sets or more have."""
-
-    def run(table: pa.Table) -> pa.Table:
-        parts = [exchange.unpack(b) for b in table.column("blob").to_pylist()]
-        key = np.concatenate([exchange.unpack_sorted(p[0]) for p in parts])
-        doc, size = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
-        _, place, n = np.unique(key, return_inverse=True, return_counts=True)
-        some = n[place] > 1
-        return pa.table({"key": pa.array(key[some].view(np.int64)), "doc": pa.array(doc[some]), "size": pa.array(size[some].astype(np.int32))})
+    return exchange.ask_again(dealt, tell2, ask_keys).select("blob")
 
-    return blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(run, "key bigint, doc bigint, size int")
 
+def _unpacked(blobs: DataFrame, columns: str, take) -> DataFrame:
+    """Rows made of each group's blob; ``take(parts)`` -> arrays."""
 
-def _rows(blobs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in columns.split(", ")]
         for b in batches:
             for blob in b.column(0).to_pylist():
-                own, sizes, rep, _, _ = exchange.unpack(blob)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(sizes), pa.array(rep)], names=["doc", "size", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else pa.array(x, pa.binary()) for x in take(exchange.unpack(blob))], names=names)
 
-    return blobs.where("bucket < 0").select("blob").mapInArrow(run, "doc bigint, size bigint, rep bigint")
+    return blobs.select("blob").mapInArrow(run, columns)
+
+
+def _rows(blobs: DataFrame) -> DataFrame:
+    return _unpacked(blobs, "doc bigint, size bigint, rep bigint", lambda p: p[:3])
 
 
 def _sets(blobs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for blob in b.column(0).to_pylist():
-                _, _, _, own, sets = exchange.unpack(blob)
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(sets, pa.binary())], names=["doc", "tokens"])
+    return _unpacked(blobs, "doc bigint, tokens binary", lambda p: p[3:5])
+
 
-    return blobs.where("bucket < 0").select("blob").mapInArrow(run, "doc bigint, tokens binary")
+def _lists(blobs: DataFrame) -> DataFrame:
+    """(key, doc, size, alone) of every key; ``alone`` counts the tokens that no other set has."""
+    return _unpacked(blobs, "key bigint, doc bigint, size bigint, alone bigint", lambda p: [p[5].view(np.int64), p[3][p[6]], p[7][p[6]], p[8][p[6]]])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -254,9 +277,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                both = np.sort(np.concatenate([x, y]), kind="stable")  # merges the two runs
+                shared = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -265,46 +288,79 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def linked(blobs: DataFrame, percent: int) -> DataFrame:
+def linked(blobs: DataFrame, percent: int, tables: Tables) -> DataFrame:
     """(node, component) of the representatives that any link touches.
 
-    A key's members are numbered by id.  In the first round its first LEADERS
-    members meet all later ones that fit in size, in each further round twice
-    as many do, but for pairs already known to be in one component; short lists
-    meet in full at once.  Where one text has very many near copies, the first
-    members bring most of them into one component, and hardly a pair is left
-    for the later rounds; none is left out.
+    Two sets share at most the tokens that neither has alone, which their sizes
+    and those counts decide beforehand; so of two sets that link one at least
+    is central: at most (100 - percent) of (100 + percent) of its tokens are
+    its own.  A key's members are ordered by that share.  Short lists meet in
+    full at once; in a long one the most central set meets all others in the
+    first round, and in each further round twice as many central ones do, but
+    for pairs already in one component.  Keys whose members are in one
+    component, or whose central members have all met the others, are done.
+    Copies of one text mostly join its most central copy in the first round; no
+    pair is left out.
     """
     sets = _sets(blobs)
-    listed = _lists(blobs).distinct()
-    place = Window.partitionBy("key").orderBy("doc")
-    listed = listed.withColumn("at", F.row_number().over(place) - 1).withColumn("top", F.count("*").over(Window.partitionBy("key")) - 1).checkpoint()
-    longest, members = listed.agg(F.max("top"), F.count("*")).first()
+    central = (100 + percent) * F.col("alone") <= (100 - percent) * F.col("size")
+    rank = F.struct((F.col("alone") / F.col("size")).alias("share"), F.col("doc").alias("doc"))
+    listed = _lists(blobs).withColumn("rank", rank).withColumn("central", central)
+    many = listed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    live = tables.put(listed.join(many, "key"))
+    members = live.count()
     # an id that several rows with different sets repeat is linked with each set's representative
     rows = _rows(blobs)
     repeated = rows.groupBy("doc").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc")
-    found = rows.join(repeated, "doc").where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")).checkpoint()
-    labels = None
-    low, high, longest = 0, LEADERS, longest or 0
-    while low < longest or low == 0 and members:
-        known = listed.withColumn("component", F.col("doc"))
-        in_turn = F.when(F.col("top") < SHORT_LIST, F.lit(low == 0)).otherwise((F.col("at") >= low) & (F.col("at") < high))
-        if labels is not None:
-            known = listed.where(F.col("top") >= SHORT_LIST).join(labels, F.col("doc") == F.col("node"), "left").select(listed["*"], F.coalesce("component", "doc").alias("component")).checkpoint()
-            # what is left of a key: pairs of later members with members of other components, at most
-            per = known.where(F.col("at") >= low).groupBy("key", "component").count()
-            left = per.groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("q")).agg(F.sum(F.col("n") * F.col("n") - F.col("q"))).first()[0] or 0
-            if left == 0:
-                break
-            if left <= 2 * LAST_ROUND * members:
-                in_turn, high = F.col("at") >= low, longest + 1
-        x, y = known.where(in_turn).alias("x"), known.alias("y")
-        fits = (F.col("x.at") < F.col("y.at")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & fits).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-        found = found.unionByName(_verified(pairs, sets, percent)).checkpoint()
-        labels = connected(found).checkpoint()
-        low, high = high, 2 * high + 1
-    return labels if labels is not None else connected(found)
+    edges = tables.put(rows.join(repeated, "doc").where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")))
+    order = Window.partitionBy("key").orderBy("rank")
+
+    def leading(known: DataFrame, low: int, high: int | None) -> DataFrame:
+        """The central members at the places from low + 1 to high; a partial limit goes before the shuffle."""
+        placed = known.where("central").withColumn("place", F.row_number().over(order))
+        return (placed.where(F.col("place") <= high) if high else placed).where(F.col("place") > low).drop("place")
+
+    def met(leads: DataFrame, known: DataFrame) -> DataFrame:
+        x, y = leads.alias("x"), known.alias("y")
+        both = F.least(F.col("x.size") - F.col("x.alone"), F.col("y.size") - F.col("y.alone"))
+        fits = (both * (100 + percent) >= percent * (F.col("x.size") + F.col("y.size"))) & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
+        later = (F.col("x.key") == F.col("y.key")) & (F.col("x.rank") < F.col("y.rank")) & (F.col("x.component") != F.col("y.component"))
+        return x.join(y, later & fits).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+
+    first = live.withColumn("component", F.col("doc"))
+    short, long = first.where(F.col("many") <= SHORT_LIST), first.where(F.col("many") > SHORT_LIST)
+    pairs = met(short.where("central"), short).unionByName(met(leading(long, 0, 1), long)).distinct()
+    labels = connected(_verified(pairs, sets, percent).unionByName(edges), tables)
+    low, high = 1, 3
+    while low:
+        known = long.drop("component").join(labels, F.col("doc") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc")).drop("node")
+        unmet = known.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count_if("central").alias("centres"), F.min(F.when(F.col("central"), F.col("size"))).alias("least")).where(f"c1 <> c2 and centres > {low}")
+        may = F.col("central") | ((F.col("size") - F.col("alone")) * (100 + percent) >= percent * (F.col("size") + F.col("least")))
+        known = tables.put(known.join(unmet.select("key", "least"), "key").where(may).drop("least"))
+        per = known.groupBy("key", "component").count()
+        left = per.groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("q")).agg(F.sum(F.col("n") * F.col("n") - F.col("q"))).first()[0] or 0
+        if left:
+            last = left <= 2 * LAST_ROUND * members
+            pairs = met(leading(known, low, None if last else high), known)
+            star = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            new = connected(_verified(pairs, sets, percent).unionByName(star), tables)
+            tables.drop(labels)
+            labels = new
+        tables.drop(known)
+        low, high = (0, 0) if not left or last else (high, 2 * high + 1)
+    tables.drop(live, edges)
+    return labels
+
+
+def _labelled(docs: DataFrame, words: int, percent: int, group_bytes: int) -> DataFrame:
+    """node, size and root (the node of the component) of every row."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be in (50, 100]")
+    tables = Tables(docs.sparkSession)
+    blobs = tables.put(_tables(docs, words, percent, group_bytes))
+    labels = linked(blobs, percent, tables)
+    rows = _rows(blobs)
+    return rows.join(labels, rows["rep"] == labels["node"], "left").select(F.col("doc").alias("node"), "size", F.coalesce("component", "rep").alias("root"))
 
 
 def join(docs: DataFrame, *, words: int = 5, percent: int = 80, group_bytes: int = exchange.GROUP_BYTES) -> DataFrame:
@@ -313,22 +369,26 @@ def join(docs: DataFrame, *, words: int = 5, percent: int = 80, group_bytes: int
     Two documents link when 100 * |intersection| >= percent * |union| of their
     shingle sets; component_id is the smallest doc_id reachable over links.  A
     null or empty text, or one without words, has an empty set and links with
-    nothing.  Rows that repeat a doc_id are one node.  A null doc_id counts as
-    the largest one.
+    nothing.  Rows that repeat a doc_id are one node.  A row without an id is a
+    document of its own; its component_id is null where it reaches no id.
     """
-    if not 50 < percent <= 100:
-        raise ValueError("percent must be in (50, 100]")
-    use_checkpoints(docs.sparkSession)
-    blobs = _tables(docs, words, percent, group_bytes).checkpoint()
-    labels = linked(blobs, percent)
-    rows = _rows(blobs)
-    labelled = rows.join(labels, rows["rep"] == labels["node"], "left").select("doc", "size", F.coalesce("component", "rep").alias("component"))
-    back = lambda c: F.when(F.col(c) == F.lit(int(NULL_ID)), F.lit(None)).otherwise(F.col(c))
-    return labelled.select(back("doc").alias("doc_id"), F.col("size").alias("n_shingles"), back("component").alias("component_id"))
+    back = lambda c: F.when(F.col(c) < F.lit(NO_ID), F.col(c))
+    return _labelled(docs, words, percent, group_bytes).select(back("node").alias("doc_id"), F.col("size").alias("n_shingles"), back("root").alias("component_id"))
 
 
 def representatives(docs: DataFrame, *, words: int = 5, percent: int = 80, group_bytes: int = exchange.GROUP_BYTES) -> DataFrame:
-    """The rows of ``docs`` that are their component's smallest doc_id; of rows that repeat that id, each stays."""
-    found = join(docs, words=words, percent=percent, group_bytes=group_bytes)
-    drop = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that are their component's smallest document.
+
+    A row without an id stays if its component holds no id and no other such
+    row before it.  Of rows that repeat a kept id and its text one stays; rows
+    that repeat the id with another text all stay.
+    """
+    found = _labelled(docs, words, percent, group_bytes)
+    drop = found.where("root <> node").select("node").distinct()
+    kept = docs.join(drop, _node(docs) == drop["node"], "left_anti")
+    repeated = found.groupBy("node").count().where("count > 1").select("node")
+    once = kept.join(repeated, _node(docs) == repeated["node"], "left_anti")
+    twice = kept.join(repeated, _node(docs) == repeated["node"], "left_semi")
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    single = twice.groupBy(_node(docs).alias("id"), F.coalesce(docs["text"], F.lit("")).alias("body")).agg(F.any_value(whole).alias("whole")).select("whole.*")
+    return once.unionByName(single)

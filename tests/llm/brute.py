@@ -65,8 +65,10 @@ def shingles(t, width=5):
 
 
 def ngram_join(rows, percent=80):
+    """Rows that repeat an id are one node; a row without an id is one by its text, and never names a component."""
     sets = [shingles(t) for _, t in rows]
-    parent = {key(i): key(i) for i, _ in rows}
+    nodes = [(0, i, "") if i is not None else (1, 0, t or "") for i, t in rows]
+    parent = {n: n for n in nodes}
 
     def find(x):
         while parent[x] != x:
@@ -76,9 +78,10 @@ def ngram_join(rows, percent=80):
     for a in range(len(rows)):
         for b in range(a):
             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                x, y = find(key(rows[a][0])), find(key(rows[b][0]))
+                x, y = find(nodes[a]), find(nodes[b])
                 parent[max(x, y)] = min(x, y)
-    return [(i, len(s), None if find(key(i)) == LAST else find(key(i))) for (i, _), s in zip(rows, sets, strict=True)]
+    roots = [find(n) for n in nodes]
+    return [(i, len(s), None if r[0] else r[1]) for (i, _), s, r in zip(rows, sets, roots, strict=True)]
 
 
 def fold(i, m):

@@ -258,11 +258,39 @@ def test_ngram_join_of_long_and_short_sets_at_lower_percent(make, percent, share
     assert bag(ngram_join.join(make(rows), percent=percent, group_bytes=8000), "doc_id", "n_shingles", "component_id") == want
 
 
+def test_extended_prefixes_hold_a_close_pair_of_common_tokens():
+    for percent in (51, 60, 80, 90):
+        g = ngram_join.gap(percent)
+        for n in (3, 7, 20, 61, 146, 400):
+            for m in range(-(-percent * n // 100), 100 * n // percent + 1):
+                o = ngram_join.common(n + m, percent)
+                k = (n + m - 2 * o) // (g + 1) + 2
+                assert ngram_join.extended(n, percent) >= min(n, n - o + k)
+                assert k <= o or n + m == 2 * o  # equal sets are joined by their hash
+    rng = random.Random(8)
+    for _ in range(300):  # both sets in one order of tokens, common ones scattered
+        n, percent = rng.randrange(6, 200), rng.choice([60, 80, 95])
+        o = ngram_join.common(2 * n, percent)
+        if o >= n:
+            continue
+        flags = [[1] * o + [0] * (n - o) for _ in range(2)]
+        [rng.shuffle(f) for f in flags]
+        keys = []
+        for f in flags:
+            number = np.cumsum(f)
+            tokens = [int(number[i]) if f[i] else None for i in range(ngram_join.extended(n, percent))]
+            keys.append({(tokens[i], tokens[i + d]) for d in range(1, ngram_join.gap(percent) + 2) for i in range(len(tokens) - d) if tokens[i] and tokens[i + d]})
+        assert keys[0] & keys[1]
+
+
 def test_representatives(make):
     text = "one two three four five six seven eight nine ten"
-    docs = make([(4, text), (2, text), (7, "other words that stand alone in this small table"), (9, None)])
+    other = "other words that stand alone in this small table"
+    docs = make([(4, text), (2, text), (7, other), (7, other), (7, "rows may share an id and differ in their text"), (9, None), (None, text), (None, "words of a row that has no id"), (None, "words of a row that has no id"), (None, None)])
     kept = ngram_join.representatives(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 7, 9}
+    assert kept.columns == docs.columns
+    want = [(2, text), (7, other), (7, "rows may share an id and differ in their text"), (9, None), (None, None), (None, "words of a row that has no id")]
+    assert bag(kept, "doc_id", "text") == Counter(want)
 
 
 def test_components(spark):
@@ -436,3 +464,18 @@ def test_packed_keys():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64))
     assert (exchange.unpack_sorted(exchange.pack_sorted(keys)) == keys).all()
     assert sum(s.stop - s.start for _, s in exchange.by_bucket(keys, 7)) == len(keys) and not list(exchange.by_bucket(keys[:0], 7))
+
+
+def test_blobs_come_back_and_small_ones_weigh_little():
+    rng = np.random.default_rng(3)
+    items = [rng.integers(0, 9, (3, 4)).astype(t) for t in ("u1", "u2", "u4", "u8", "i4", "i8", "f8", "?")] + [-5, b"raw" * 99, "Text é", [b"", [1, np.empty(0, np.uint64)]]]
+    back = exchange.unpack(exchange.pack(*items))
+    assert len(back) == len(items)
+    for x, y in zip(items[:8], back, strict=False):
+        assert x.dtype == y.dtype and (x == y).all()
+    assert back[8:11] == items[8:11] and back[11][0] == b"" and back[11][1][0] == 1 and len(back[11][1][1]) == 0
+    keys = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    keys.sort()
+    for buckets in (10, 100_000):  # at the worst each key travels alone, and costs what a row would
+        sent = sum(len(exchange.pack(exchange.pack_sorted(keys[s]), np.ones(s.stop - s.start, np.uint32))) for _, s in exchange.by_bucket(keys, buckets))
+        assert sent <= 24 * len(keys)
