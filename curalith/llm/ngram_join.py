@@ -35,8 +35,10 @@ NO_ID = (1 << 63) - (1 << 48)
 FREQUENT = 32
 #: Members of a key whose pairs are all candidates from the start.
 SHORT_LIST = 4
-#: The last round takes all pairs that are left if they are at most so many times the keys' members.
-LAST_ROUND = 8
+#: The last round compares all that is left if that is at most so many comparisons for each of the keys' members.
+LAST_ROUND = 256
+#: 64-bit words of the bitmap in which every token of a set flips one bit.
+WORDS = 8
 
 
 def common(total: int, percent: int) -> int:
@@ -269,6 +271,20 @@ def _lists(blobs: DataFrame) -> DataFrame:
     return _unpacked(blobs, "key bigint, doc bigint, size bigint, alone bigint", lambda p: [p[5].view(np.int64), p[3][p[6]], p[7][p[6]], p[8][p[6]]])
 
 
+def _bitmaps(blobs: DataFrame) -> DataFrame:
+    """(doc, bits): the parity of each set's tokens by their low bits; two sets differ in at least as many tokens as their bitmaps in bits."""
+
+    def flipped(parts: list) -> list:
+        raw = np.zeros((len(parts[4]), WORDS * 64), bool)
+        for k, tokens in enumerate(parts[4]):
+            raw[k] = np.bincount((np.frombuffer(tokens, np.uint64) & np.uint64(WORDS * 64 - 1)).astype(np.int64), minlength=WORDS * 64) & 1
+        bits = np.packbits(raw, axis=1).view(np.int64)
+        return [parts[3], *(np.ascontiguousarray(bits[:, w]) for w in range(WORDS))]
+
+    words = [f"w{k}" for k in range(WORDS)]
+    return _unpacked(blobs, "doc bigint, " + ", ".join(f"{w} bigint" for w in words), flipped).groupBy("doc").agg(*[F.min(w).alias(w) for w in words], F.count("*").alias("sets"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
 
@@ -296,11 +312,13 @@ def linked(blobs: DataFrame, percent: int, tables: Tables) -> DataFrame:
     is central: at most (100 - percent) of (100 + percent) of its tokens are
     its own.  A key's members are ordered by that share.  Short lists meet in
     full at once; in a long one the most central set meets all others in the
-    first round, and in each further round twice as many central ones do, but
-    for pairs already in one component.  Keys whose members are in one
-    component, or whose central members have all met the others, are done.
-    Copies of one text mostly join its most central copy in the first round; no
-    pair is left out.
+    first round, which mostly brings a text's copies into one component.  Keys
+    whose members are in one component, or whose central members have all met
+    the others, are done.  Of the other keys, all members outside the largest
+    component meet all others, if that is in proportion to the keys' members;
+    else twice as many central members as before meet them, and so on.  In
+    these rounds bitmaps of the sets rule out most pairs that don't link before
+    the sets are compared.  No pair that may link is left out.
     """
     sets = _sets(blobs)
     central = (100 + percent) * F.col("alone") <= (100 - percent) * F.col("size")
@@ -315,17 +333,23 @@ def linked(blobs: DataFrame, percent: int, tables: Tables) -> DataFrame:
     edges = tables.put(rows.join(repeated, "doc").where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")))
     order = Window.partitionBy("key").orderBy("rank")
 
-    def leading(known: DataFrame, low: int, high: int | None) -> DataFrame:
+    def leading(known: DataFrame, low: int, high: int) -> DataFrame:
         """The central members at the places from low + 1 to high; a partial limit goes before the shuffle."""
-        placed = known.where("central").withColumn("place", F.row_number().over(order))
-        return (placed.where(F.col("place") <= high) if high else placed).where(F.col("place") > low).drop("place")
+        return known.where("central").withColumn("place", F.row_number().over(order)).where(F.col("place") <= high).where(F.col("place") > low).drop("place")
 
-    def met(leads: DataFrame, known: DataFrame) -> DataFrame:
+    def met(leads: DataFrame, known: DataFrame, once: Column | None = None) -> DataFrame:
         x, y = leads.alias("x"), known.alias("y")
+        total = F.col("x.size") + F.col("y.size")
         both = F.least(F.col("x.size") - F.col("x.alone"), F.col("y.size") - F.col("y.alone"))
-        fits = (both * (100 + percent) >= percent * (F.col("x.size") + F.col("y.size"))) & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
-        later = (F.col("x.key") == F.col("y.key")) & (F.col("x.rank") < F.col("y.rank")) & (F.col("x.component") != F.col("y.component"))
-        return x.join(y, later & fits).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+        fits = (both * (100 + percent) >= percent * total) & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
+        if "w0" in known.columns:
+            apart = sum((F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
+            least = F.expr(f"({percent} * (x.size + y.size) + {99 + percent}) div {100 + percent}")
+            fits = fits & ((apart <= total - 2 * least) | (F.col("x.sets") > 1) | (F.col("y.sets") > 1))
+        if once is None:
+            once = F.col("x.rank") < F.col("y.rank")
+        found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & fits)
+        return found.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
     first = live.withColumn("component", F.col("doc"))
     short, long = first.where(F.col("many") <= SHORT_LIST), first.where(F.col("many") > SHORT_LIST)
@@ -336,18 +360,24 @@ def linked(blobs: DataFrame, percent: int, tables: Tables) -> DataFrame:
         known = long.drop("component").join(labels, F.col("doc") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc")).drop("node")
         unmet = known.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count_if("central").alias("centres"), F.min(F.when(F.col("central"), F.col("size"))).alias("least")).where(f"c1 <> c2 and centres > {low}")
         may = F.col("central") | ((F.col("size") - F.col("alone")) * (100 + percent) >= percent * (F.col("size") + F.col("least")))
-        known = tables.put(known.join(unmet.select("key", "least"), "key").where(may).drop("least"))
+        known = known.join(unmet.select("key", "least"), "key").where(may).drop("least")
+        known = tables.put(known.join(_bitmaps(blobs), "doc"))
         per = known.groupBy("key", "component").count()
-        left = per.groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("q")).agg(F.sum(F.col("n") * F.col("n") - F.col("q"))).first()[0] or 0
+        largest = per.groupBy("key").agg(F.sum("count").alias("n"), F.max_by("component", F.struct("count", "component")).alias("top"), F.max("count").alias("most"))
+        left = largest.agg(F.sum((F.col("n") - F.col("most")) * F.col("n"))).first()[0] or 0
+        last = left <= LAST_ROUND * members
         if left:
-            last = left <= 2 * LAST_ROUND * members
-            pairs = met(leading(known, low, None if last else high), known)
-            star = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            new = connected(_verified(pairs, sets, percent).unionByName(star), tables)
+            if last:  # whoever isn't in the key's largest component meets all others
+                apart = known.join(largest.select("key", "top"), "key")
+                once = (F.col("x.central") | F.col("y.central")) & ((F.col("y.component") == F.col("x.top")) | (F.col("x.rank") < F.col("y.rank")))
+                pairs = met(apart.where("component <> top"), known, once)
+            else:
+                pairs = met(leading(known, low, high), known)
+            new = connected(_verified(pairs, sets, percent).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))), tables)
             tables.drop(labels)
             labels = new
         tables.drop(known)
-        low, high = (0, 0) if not left or last else (high, 2 * high + 1)
+        low, high = (0, 0) if last else (high, 2 * high + 1)
     tables.drop(live, edges)
     return labels
 
