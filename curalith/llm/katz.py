@@ -14,7 +14,7 @@ else by the context's weight times its unigram, else by the unknown word's.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,15 +138,15 @@ def score(docs: DataFrame, *, folds: int = 7, held: int = 2, group_bytes: int =
         parts = [exchange.unpack(blob) for _, blob in asked]
         known, place = np.unique(np.concatenate([exchange.unpack_sorted(p[0]) for p in parts]), return_inverse=True)
         total = np.bincount(place, weights=np.concatenate([p[1] for p in parts]), minlength=len(known)).astype(np.int64)
-        yield -1, exchange.pack(int(total.sum()), int((total > 0).sum()), counts_of_counts(total))
+        yield -1, exchange.pack(np.concatenate([[total.sum(), (total > 0).sum()], counts_of_counts(total)[1:]]).astype(np.int64))
         at = 0
         for (g, _), p in zip(asked, parts, strict=True):
             yield g, exchange.pack(total[place[at : at + len(p[1])]])
             at += len(p[1])
 
     def unigrams_of(blob: bytes) -> Unigrams:
-        parts = [exchange.unpack(x) for x in exchange.unpack(blob)[0]]
-        return Unigrams(sum(p[0] for p in parts), sum(p[1] for p in parts), sum(p[2] for p in parts))
+        tokens, types, *counts = exchange.unpack(blob)[0].tolist()
+        return Unigrams(tokens, types, np.array([0, *counts]))
 
     def ask_bigrams(grp: int, ids: list, data: list[bytes], answers: list[tuple[int, bytes]]) -> Iterable[tuple[int, bytes]]:
         g = Group(ids, data, folds, held)
@@ -158,12 +158,15 @@ def score(docs: DataFrame, *, folds: int = 7, held: int = 2, group_bytes: int =
             lead = np.flatnonzero(np.diff(context[s], prepend=-1))
             sizes = np.diff(np.append(lead, s.stop - s.start))
             following = np.ascontiguousarray((g.hashes[token[s]] >> DROP).view(np.uint8).reshape(-1, 8).T[:6])
-            yield b, exchange.pack("bigrams", exchange.pack_sorted(g.hashes[context[s]][lead]), sizes.astype(np.uint32), following, exchange.planes(own[s]), exchange.planes(counts[token[s]]), summary)
+            yield b, exchange.pack("bigrams", exchange.pack_sorted(g.hashes[context[s]][lead]), sizes.astype(np.uint32), following, exchange.planes(own[s]), exchange.planes(counts[token[s]]))
         yield grp % groups, exchange.pack("own", counts, summary)
 
     def tell_bigrams(bucket: int, asked: list[tuple[int, bytes]]) -> Iterable[tuple[int, bytes]]:
-        parts, owners = [], []
+        parts, owners, unigrams = [], [], None
         for g, blob in asked:
+            if g < 0:
+                unigrams = unigrams_of(blob)
+                continue
             kind, *rest = exchange.unpack(blob)
             if kind == "own":
                 yield g, blob
@@ -172,7 +175,6 @@ def score(docs: DataFrame, *, folds: int = 7, held: int = 2, group_bytes: int =
                 owners.append(g)
         if not parts:
             return
-        unigrams = unigrams_of(parts[0][5])
         contexts = [exchange.unpack_sorted(p[0]) for p in parts]
         known, context_place = np.unique(np.concatenate(contexts), return_inverse=True)
         context = np.repeat(context_place, np.concatenate([p[1] for p in parts]))
@@ -185,7 +187,7 @@ def score(docs: DataFrame, *, folds: int = 7, held: int = 2, group_bytes: int =
         total = np.add.reduceat(own[order], lead)
         r = np.empty(len(order), np.int64)
         r[order] = total[np.cumsum(starts) - 1]
-        yield -1, exchange.pack(counts_of_counts(total))
+        yield -1, exchange.pack(counts_of_counts(total)[1:].astype(np.int64))
         run_context, seen = context[order][lead], total > 0
         table = np.zeros((CUT + 2, len(known)))
         for c in range(1, CUT + 1):
@@ -205,7 +207,7 @@ def score(docs: DataFrame, *, folds: int = 7, held: int = 2, group_bytes: int =
         of_count, told, counts, unigrams = np.zeros(CUT + 2, np.int64), [], None, None
         for b, blob in answers:
             if b == -1:
-                of_count = sum(exchange.unpack(x)[0] for x in exchange.unpack(blob)[0])
+                of_count = np.append(0, exchange.unpack(blob)[0][: CUT + 1])
                 continue
             kind, *rest = exchange.unpack(blob)
             if kind == "own":
@@ -242,17 +244,30 @@ def score(docs: DataFrame, *, folds: int = 7, held: int = 2, group_bytes: int =
             }
         )
 
-    def with_summary(told: DataFrame) -> DataFrame:
-        """Each group's answers, and to each the summaries of all buckets (a few numbers a bucket)."""
+    def sums(told: DataFrame) -> DataFrame:
+        """One row (blob): the sums of all buckets' summaries, which are a few numbers each."""
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([exchange.unpack(x)[0].tolist() for x in b.column(0).to_pylist()], pa.list_(pa.int64()))], names=["n"])
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([exchange.pack(np.array(x, np.int64)) for x in b.column(0).to_pylist()], pa.binary())], names=["blob"])
 
-        def gather(table: pa.Table) -> pa.Table:
-            return pa.table({"blob": pa.array([exchange.pack(sorted(table.column("blob").to_pylist()))], pa.binary())})
+        numbers = told.where(F.col("grp") < 0).select("blob").mapInArrow(read, "n array<bigint>")
+        return numbers.agg(F.array(*[F.coalesce(F.sum(F.get("n", F.lit(k))), F.lit(0)) for k in range(CUT + 3)]).alias("n")).mapInArrow(write, "blob binary")
 
-        summary = told.where(F.col("grp") < 0).select(F.lit(0).alias("one"), "blob").groupBy("one").applyInArrow(gather, "blob binary")
-        to_all = spark.range(groups).select(F.col("id").cast("int").alias("grp")).crossJoin(F.broadcast(summary)).select("grp", F.lit(-1).alias("bucket"), "blob")
-        return told.where(F.col("grp") >= 0).unionByName(to_all)
+    def to_all(one: DataFrame, key: str) -> DataFrame:
+        """The one row for every group or bucket."""
+        other = "bucket" if key == "grp" else "grp"
+        return spark.range(groups).select(F.col("id").cast("int").alias(key), F.lit(-1).alias(other)).crossJoin(F.broadcast(one)).select("grp", "bucket", "blob")
 
-    words = with_summary(exchange.answer(exchange.ask(dealt, ask_words), tell_words))
-    bigrams = with_summary(exchange.answer(exchange.ask_again(dealt, words, ask_bigrams), tell_bigrams))
+    told = exchange.answer(exchange.ask(dealt, ask_words), tell_words)
+    word_sums = sums(told)
+    words = told.where(F.col("grp") >= 0).unionByName(to_all(word_sums, "grp"))
+    asked = exchange.ask_again(dealt, words, ask_bigrams)
+    told_bigrams = exchange.answer(asked.unionByName(to_all(word_sums, "bucket")), tell_bigrams)
+    bigrams = told_bigrams.where(F.col("grp") >= 0).unionByName(to_all(sums(told_bigrams), "grp"))
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return exchange.finish(dealt, bigrams, last, schema)

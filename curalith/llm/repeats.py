@@ -31,8 +31,10 @@ from curalith.llm import exchange
 from curalith.llm.text import mix
 
 BASE = 0x9E3779B97F4A7C15 | 1
-#: Symbols that are hashed at a time; a longer document stands alone.
+#: Symbols that are hashed at a time; a longer document goes in parts that overlap by a window.
 CHUNK = 1 << 19
+#: Low bits of a hash that give way to its place in a chunk; the same in chunks of all lengths, so equal windows have equal anchors everywhere.
+PLACE_BITS = np.uint64(21)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -52,7 +54,9 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     Values (uint64) count by their leading bits; the place takes the others, so
     that one minimum decides both.
     """
-    bits = np.uint64(max(20, len(values).bit_length()))
+    bits = PLACE_BITS
+    if len(values) >> int(bits):
+        raise ValueError("a chunk is longer than places can count")
     v = values >> bits << bits | np.arange(len(values), dtype=np.uint64)
     have = 1
     while have < width:
@@ -104,27 +108,31 @@ def _content(prefix: np.ndarray, down: np.ndarray, start: np.ndarray, size: np.n
     return mix((prefix[start + size] - prefix[start]) * down[start] ^ place.astype(np.uint64) * np.uint64(BASE) ^ size.astype(np.uint64))
 
 
-def chunks(lengths: list[int]) -> Iterable[tuple[int, int]]:
-    at = 0
-    while at < len(lengths):
-        to, total = at, 0
-        while to < len(lengths) and (to == at or total + lengths[to] <= CHUNK):
-            total += lengths[to]
-            to += 1
-        yield at, to
-        at = to
+def chunks(lengths: list[int], window: int) -> Iterable[list[tuple[int, int, int]]]:
+    """Parts (document, from, to) that are hashed together: about CHUNK symbols, every window of a document in exactly one part."""
+    batch: list[tuple[int, int, int]] = []
+    total = 0
+    for d, n in enumerate(lengths):
+        for at in range(0, max(n - window + 1, 1), CHUNK):
+            to = min(n, at + CHUNK + window - 1)
+            if batch and total + to - at > CHUNK:
+                yield batch
+                batch, total = [], 0
+            batch.append((d, at, to))
+            total += to - at
+    if batch:
+        yield batch
 
 
 def group_segments(docs: list[np.ndarray], hashed: Callable[[np.ndarray], np.ndarray], window: int, k: int) -> Segments:
     """Segments of a group's documents; starts count within the document."""
     parts: list[Segments] = []
-    for a, b in chunks([len(d) for d in docs]):
-        lengths = np.array([len(d) for d in docs[a:b]], np.int64)
-        s = segments(hashed(np.concatenate(docs[a:b])), lengths, window, k)
+    for batch in chunks([len(d) for d in docs], window):
+        owner, origin, lengths = (np.array(x, np.int64) for x in zip(*[(d, a, b - a) for d, a, b in batch], strict=True))
+        s = segments(hashed(np.concatenate([docs[d][a:b] for d, a, b in batch])), lengths, window, k)
         if s is not None:
-            begin = np.cumsum(lengths) - lengths
-            s.start = s.start - begin[s.doc]
-            s.doc = s.doc + a
+            s.start = s.start - (np.cumsum(lengths) - lengths)[s.doc] + origin[s.doc]
+            s.doc = owner[s.doc]
             parts.append(s)
     if not parts:
         return Segments(*[np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)])
@@ -239,8 +247,11 @@ def verdicts(
             d, x = np.repeat(s.doc[single], reps), np.repeat(s.start[single], reps) + inner
             h = np.empty(len(d), np.uint64)
             for i in np.unique(d).tolist():
-                mine = d == i
-                h[mine] = window_hashes(hashed(own[i]), window)[x[mine]]
+                mine = np.flatnonzero(d == i)
+                for a in range(0, len(own[i]), CHUNK):
+                    here = mine[(x[mine] >= a) & (x[mine] < a + CHUNK)]
+                    if len(here):
+                        h[here] = window_hashes(hashed(own[i][a : a + CHUNK + window - 1]), window)[x[here] - a]
             doc, start, count = np.concatenate([doc, d]), np.concatenate([start, x]), np.concatenate([count, np.ones(len(d), np.int64)])
             place, anchor, content = np.concatenate([place, np.full(len(d), SINGLE)]), np.concatenate([anchor, h]), np.concatenate([content, h])
         order = np.lexsort((content, anchor))
@@ -311,7 +322,11 @@ def verdicts(
 
 
 def collapse(entries: list[Entries], window: int):
-    """Distinct segments of a bucket: (number of each group's entries, the segment of each entry, one entry of each segment, starts of symbols, all symbols, anchors)."""
+    """Distinct segments of a bucket: (the segment of each entry, one entry of each segment, starts of symbols, their numbers, all symbols, anchors, windows).
+
+    Entries of equal hashes are compared symbol by symbol with the one that
+    stands for them; where hashes collide, contents are told apart in full.
+    """
     anchor, content, count = (np.concatenate([getattr(e, f) for e in entries]) for f in ("anchor", "content", "windows"))
     symbols = np.concatenate([e.symbols for e in entries])
     sizes = count.astype(np.int64) + window - 1
@@ -322,9 +337,42 @@ def collapse(entries: list[Entries], window: int):
     segment = np.empty(len(order), np.int64)
     segment[order] = np.cumsum(new) - 1
     lead = order[np.flatnonzero(new)]
+    other = np.flatnonzero(lead[segment] != np.arange(len(order)))
+    wrong = [i for part in _blocks(other, sizes) for i in part[_differ(symbols, begin[part], begin[lead[segment[part]]], sizes[part])].tolist()]
+    if wrong:  # contents of equal hashes: each of its own becomes a segment
+        known: dict[tuple[int, bytes], int] = {}
+        leads = lead.tolist()
+        for i in wrong:
+            key = (int(segment[i]), symbols[begin[i] : begin[i] + sizes[i]].tobytes())
+            if key not in known:
+                known[key] = len(leads)
+                leads.append(i)
+            segment[i] = known[key]
+        lead = np.array(leads, np.int64)
+        place = np.argsort(anchor[lead], kind="stable")  # segments of one anchor stay together
+        back = np.empty(len(place), np.int64)
+        back[place] = np.arange(len(place))
+        segment, lead = back[segment], lead[place]
     return segment, lead, begin, sizes, symbols, anchor[lead], count.astype(np.int64)
 
 
+def _blocks(which: np.ndarray, sizes: np.ndarray) -> Iterable[np.ndarray]:
+    """The entries in blocks of about CHUNK symbols."""
+    ends = np.cumsum(sizes[which])
+    at = 0
+    while at < len(which):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        yield which[at:to]
+        at = to
+
+
+def _differ(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether stretches of symbols that start at a and at b differ."""
+    first = np.cumsum(sizes) - sizes
+    inner = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    return np.add.reduceat(symbols[np.repeat(a, sizes) + inner] != symbols[np.repeat(b, sizes) + inner], first) > 0
+
+
 def spread(values: list[np.ndarray], segment: np.ndarray, entries: list[Entries]) -> list[np.ndarray]:
     """For each group the values of its entries' windows, given those of each segment."""
     out, at = [], 0

@@ -103,6 +103,30 @@ def test_segments_cover_each_window_once():
     assert seen == Counter((d, x) for d, t in enumerate(docs) for x in range(len(t) - 9))
 
 
+def test_long_texts_go_in_parts(monkeypatch, make):
+    """Windows and anchors are the same wherever a text is cut, in parts as in one."""
+    monkeypatch.setattr(repeats, "CHUNK", 64)
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 3, n, dtype=np.uint8) for n in (700, 3, 64, 63, 90, 1, 0, 129)]
+    docs.append(docs[0][200:500].copy())
+    s = repeats.group_segments(docs, lambda x: suffix_dedup.BYTE_TABLE[x], 12, 5)
+    seen = Counter((d, x + k) for d, x, n in zip(s.doc.tolist(), s.start.tolist(), s.windows.tolist(), strict=True) for k in range(n))
+    assert seen == Counter((d, x) for d, t in enumerate(docs) for x in range(len(t) - 11))
+    anchors = {}
+    for d, x, n, place, h in zip(s.doc.tolist(), s.start.tolist(), s.windows.tolist(), s.place.tolist(), s.anchor.tolist(), strict=True):
+        for k in range(n):
+            anchors.setdefault(docs[d][x + k : x + k + 12].tobytes(), set()).add((h, place - k))
+    assert all(len(found) == 1 for found in anchors.values())
+
+
+def test_colliding_hashes_are_told_apart_by_content():
+    texts = [b"abcdef", b"abcxyz", b"abcdef", b"mnopqr"]
+    entries = [repeats.Entries(np.array([7], np.uint64), np.array([9], np.uint64), np.array([3], np.uint16), np.array([1]), np.frombuffer(t, np.uint8)) for t in texts]
+    segment, lead, begin, sizes, symbols, anchor, _ = repeats.collapse(entries, 4)
+    assert segment[0] == segment[2] and len({*segment.tolist()}) == 3 == len(lead) == len(anchor)
+    assert [symbols[begin[lead[k]] : begin[lead[k]] + sizes[lead[k]]].tobytes() for k in segment.tolist()] == texts
+
+
 def test_quality(make, odd):
     got = bag(quality.apply_rules(make(odd)), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     want = Counter()
