@@ -1,8 +1,8 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 Texts are cut where a rolling hash of the last bytes hits a pattern, so that
-documents with common passages get common chunks.  A chunk is encoded once and
-remembered.  A cut may fall inside a word, so the word that spans a join is
+documents with common passages get common chunks.  A worker encodes a chunk
+once and remembers it, within a bound of bytes and beyond the task.  A cut may fall inside a word, so the word that spans a join is
 left out of both chunks' results and encoded again from both sides; the window
 of that repair grows until white space bounds it on either side, which is
 where the encodings agree for certain: the tokenizer's normaliser (NFC, white
@@ -215,10 +215,9 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, chunk_bits: int = 9, outp
     schema = SCHEMA + (", ids array<int>, decoded string" if outputs else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(vocabulary)
-        chunks = ChunkEncoder(words, chunk_bits)
+        chunks = remembered(("chunks", vocabulary, chunk_bits), lambda: ChunkEncoder(Encoder(vocabulary), chunk_bits))
         for b in slices(batches):
-            words.forget()
+            chunks.words.forget()
             rows: dict[str, list] = {"n": [], "i": [], "d": [], "ids": [], "decoded": []}
             for text in texts(b.column(1)):
                 ids, decoded = chunks.encode(text, cuts(np.frombuffer(text, np.uint8), chunk_bits))

@@ -146,7 +146,8 @@ def test_quality_verdict_is_the_same_in_any_order(make, rows):
     a = found.select("doc_id", quality.verdict(quality.RULES).alias("v")).collect()
     b = found.select("doc_id", quality.verdict(quality.RULES[::-1]).alias("v")).collect()
     assert sorted(a) == sorted(b) and {r.doc_id for r in a if not r.v} >= {7001, 7002}
-    assert quality.ordered([("slow", 2.0, 0.5), ("quick", 0.1, 0.2), ("never", 0.01, 0.0)]) == ["quick", "slow", "never"]
+    hits = [[True, True, False, True]] * 3 + [[True, False, False, False]] + [[False] * 4] * 6
+    assert quality.ordered(["slow", "quick", "never", "again"], [2.0, 0.1, 0.01, 0.2], hits) == ["quick", "slow", "never", "again"]  # behind "quick", "again" rejects nothing
     kept = {r.doc_id for r in quality.apply_rules(docs).where("kept").collect()}
     assert 7000 in kept and not kept & {7001, 7002, 1001, 1002}
 
@@ -209,7 +210,7 @@ def test_local_search_raises_squared_fill_and_loses_nothing():
         bins += [[i] for i in range(120) if i not in held]
         fill = lambda bs: sum(sum(sizes[i] for i in b) ** 2 for b in bs)
         before, n = fill(bins), len(bins)
-        after = packing.local_search(sizes, [list(b) for b in bins], 100, 8)
+        after = packing.local_search(sizes, [list(b) for b in bins], 100)
         assert sorted(i for b in after for i in b) == list(range(120)) and all(sum(sizes[i] for i in b) <= 100 for b in after)
         assert fill(after) > before and len(after) < n
 
