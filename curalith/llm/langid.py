@@ -39,6 +39,8 @@ MEMO_BYTES = 64 << 20
 RUN_BYTES = 200
 #: Bytes of partial sums that the forward algorithm holds at a time.
 FORWARD_BYTES = 16 << 20
+#: Bytes of text whose runs are held at a time; as Python strings they weigh twenty times as much.
+SLICE_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -203,7 +205,7 @@ def predict(docs: DataFrame, model: Model, *, folds: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         scorer = remembered(key, lambda: Scorer(model))
-        for b in slices(batches):
+        for b in slices(batches, SLICE_BYTES):
             ids = b.column(0).to_pylist()
             texts = [runs_of(t or "") for t in b.column(1).to_pylist()]
             if model.languages:
@@ -237,7 +239,7 @@ def keep_certain(docs: DataFrame, model: Model, certain: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = remembered(key, lambda: Scorer(shared.value))
-        for b in slices(batches):
+        for b in slices(batches, SLICE_BYTES):
             runs = [runs_of(t or "") for t in b.column(at).to_pylist()]
             if shared.value.languages:
                 scorer.learn([r for t in runs for r in t])

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Odd multiplier and shifts of the 64-bit mixer (the golden ratio in 64 bits).
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -45,7 +46,7 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[
     for b in batches:
         if b.num_rows == 0:
             continue
-        lengths = np.array([len(x) for x in texts(b.column(b.schema.get_field_index("text")))], np.int64)
+        lengths = pc.binary_length(b.column(b.schema.get_field_index("text"))).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(lengths)
         at = 0
         while at < b.num_rows:
