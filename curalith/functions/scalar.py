@@ -114,3 +114,92 @@ def difference_hash(rows: Column | str) -> Column:
 
 def member(c: Column | str, values: Sequence[str]) -> Column:
     return F.coalesce(_col(c).isin(list(values)), F.lit(False))
+
+
+def prefix(c: Column | str, n: int) -> Column:
+    return F.substring(_col(c), 1, n)
+
+
+def digits(c: Column | str) -> Column:
+    return F.regexp_replace(_col(c), "[^0-9]", "")
+
+
+def basename(c: Column | str) -> Column:
+    return F.substring_index(portable_path(c), "/", -1)
+
+
+def suffix(c: Column | str) -> Column:
+    """The last dot and what follows it, in lower case; empty for a name without one or that only begins with one."""
+    return F.lower(F.regexp_extract(basename(c), r"^.+(\.[^.]+)$", 1))
+
+
+def stem(c: Column | str) -> Column:
+    return F.regexp_replace(basename(c), r"(?<=.)\.[^.]+$", "")
+
+
+def fixed(c: Column | str, places: int = 6, signed: bool = False) -> Column:
+    return F.format_string(f"%{'+' if signed else ''}.{places}f", _col(c))
+
+
+def half_even(c: Column | str) -> Column:
+    return F.bround(_col(c), 0)
+
+
+def scaled_pixel(c: Column | str) -> Column:
+    """A channel from 0..255 to -1..1."""
+    return _col(c) / F.lit(127.5) - F.lit(1.0)
+
+
+def scaled_image(pixels: Column | str) -> Column:
+    """All channels of an image (array of numbers from 0 to 255) to -1..1."""
+    return F.transform(_col(pixels), scaled_pixel)
+
+
+def rotated(x: Column | str, y: Column | str, degrees: Column | float) -> Column:
+    """struct<x, y>: a point turned about the origin."""
+    a = F.radians(degrees if isinstance(degrees, Column) else F.lit(float(degrees)))
+    return F.struct((_col(x) * F.cos(a) - _col(y) * F.sin(a)).alias("x"), (_col(x) * F.sin(a) + _col(y) * F.cos(a)).alias("y"))
+
+
+def utc_iso(c: Column | str) -> Column:
+    return F.date_format(_col(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def utc_compact(c: Column | str) -> Column:
+    return F.date_format(_col(c), "yyyyMMdd'T'HHmmss'Z'")
+
+
+def packed_bits(flags: Column | str) -> Column:
+    """Booleans as one number, the first in the highest place."""
+    return F.aggregate(_col(flags), F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(x.cast("bigint")))
+
+
+def one_hot(c: Column | str, categories: Sequence) -> Column:
+    """A vector with a one at the place of the value's category; all zero for other values."""
+    return F.array(*[F.coalesce((_col(c) == v).cast("int"), F.lit(0)) for v in categories])
+
+
+def without_keys(c: Column | str, known: Sequence[str]) -> Column:
+    """What an open map holds beside the known keys."""
+    return F.map_filter(_col(c), lambda k, _: ~k.isin(list(known)))
+
+
+def under(c: Column | str, first: str, second: str) -> Column:
+    """Whether two successive parts of a path are these, in any case."""
+    return F.concat(F.lit("/"), F.lower(portable_path(c)), F.lit("/")).contains(f"/{first}/{second}/")
+
+
+def smoke_path(c: Column | str) -> Column:
+    return under(c, "artifacts", "smoke")
+
+
+def report_path(c: Column | str) -> Column:
+    return under(c, "artifacts", "report")
+
+
+def contained(c: Column | str) -> Column:
+    """Whether a relative path, its ``..`` steps resolved from the left, never leaves its root."""
+    steps = F.transform(F.split(portable_path(c), "/"), lambda s: F.when(s == "..", -1).when(s.isin("", "."), 0).otherwise(1))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least"))
+    end = F.aggregate(steps, start, lambda a, s: F.struct((a["depth"] + s).alias("depth"), F.least(a["least"], a["depth"] + s).alias("least")))
+    return ~portable_path(c).startswith("/") & (end["least"] >= 0)

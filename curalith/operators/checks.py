@@ -118,6 +118,29 @@ def captured(column: str = "capture_source") -> Check:
     return Check(f"{column}_self", F.col(column) != "self_captured")
 
 
+def lenient_label(column: str = "label") -> Check:
+    """0 or 1 in any form that reads as a number; one class alone is fine."""
+    return Check(f"{column}_lenient", ~F.col(column).cast("string").try_cast("double").isin(0.0, 1.0))
+
+
+def in_range(column: str, low: float, high: float) -> Check:
+    return Check(f"{column}_range", ~(finite(column) & F.col(column).between(low, high)))
+
+
+def history_checks(columns: Sequence[str]) -> list[Check]:
+    """A journal's losses are finite and not negative; accuracies come in pairs and lie in [0, 1]."""
+    if ("accuracy" in columns) != ("val_accuracy" in columns):
+        raise CheckError("accuracy and val_accuracy come together or not at all")
+    losses = [in_range(c, 0.0, 1.7976931348623157e308) for c in ("loss", "val_loss") if c in columns]
+    return losses + [in_range(c, 0.0, 1.0) for c in ("accuracy", "val_accuracy") if c in columns]
+
+
+def external_checks() -> list[Check]:
+    """Rows of an external set: self-captured, a safe path, a label, and outside the standard splits."""
+    outside = Check("split_external", F.coalesce(F.lower(F.trim("split")).isin(SPLITS), F.lit(False)))
+    return [captured(), label_values(), path_safe(), outside]
+
+
 def manifest_checks() -> list[Check]:
     return [not_blank("relative_path"), not_blank("source_group"), not_blank("surface"), sha_shape(), label_values(), surface_values(), verified(), path_safe(), audit_ok()]
 

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the session's spark.checkpoint.dir; only where it is unset, as in a local test, make a temporary folder."""
+    """Use the session's spark.checkpoint.dir; where it is unset, a temporary folder on a local master, an error on a cluster."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def components(frame: DataFrame, group: str, value: str) -> DataFrame:

@@ -66,3 +66,40 @@ def consistent_value(*frames: DataFrame, column: str) -> DataFrame:
         one = f.select(column)
         union = one if union is None else union.unionByName(one)
     return union.agg(F.count_distinct(column).alias("n_values"))
+
+
+def lookup(frame: DataFrame, other: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The frame with columns of the other table's row of the same key; null where there is none.  A key that the other table repeats takes its least row."""
+    once = other.groupBy(key).agg(F.min(F.struct(*columns)).alias("found"))
+    return frame.join(once, key, "left").select(*[frame[c] for c in frame.columns], *[F.col(f"found.{c}").alias(c) for c in columns])
+
+
+def field_agreement(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, n_different, different): the fields in which two records of a key differ, null-safely; keys of both tables only."""
+    l, r = left.alias("l"), right.alias("r")
+    off = F.array_compact(F.array(*[F.when(~F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")), F.lit(c)) for c in fields]))
+    return l.join(r, F.col(f"l.{key}") == F.col(f"r.{key}")).select(F.col(f"l.{key}").alias(key), F.size(off).cast("bigint").alias("n_different"), F.array_join(off, ",").alias("different"))
+
+
+def allowed(frame: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose tuple of these columns is a known one."""
+    return frame.join(known.select(*columns).distinct(), columns, "left_semi")
+
+
+def same_set(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+    """One row: values of both, of the left only, of the right only."""
+    return coverage(left, right, column)
+
+
+def changed_inputs(before: DataFrame, after: DataFrame, key: str = "relative_path", column: str = "sha256") -> DataFrame:
+    """(key, change) of what was removed, added or altered between two inventories; empty if nothing was."""
+    b, a = before.select(key, F.col(column).alias("b"), F.lit(True).alias("was")), after.select(key, F.col(column).alias("a"), F.lit(True).alias("is"))
+    change = F.when(F.col("is").isNull(), "removed").when(F.col("was").isNull(), "added").when(~F.col("a").eqNullSafe(F.col("b")), "altered")
+    return b.join(a, key, "full_outer").select(key, change.alias("change")).where("change is not null")
+
+
+def summary_agreement(stored: DataFrame, again: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """(metric, agrees) of two one-row summaries with the same columns."""
+    pairs = stored.select(F.struct("*").alias("s")).crossJoin(F.broadcast(again.select(F.struct("*").alias("a"))))
+    rows = [F.struct(F.lit(c).alias("metric"), F.coalesce(F.abs(F.col(f"s.{c}") - F.col(f"a.{c}")) <= tolerance, F.lit(False)).alias("agrees")) for c in stored.columns]
+    return pairs.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from curalith.plans import register
+from curalith.plans import inventory, register  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
