@@ -282,7 +282,7 @@ def _bitmaps(blobs: DataFrame) -> DataFrame:
         return [parts[3], *(np.ascontiguousarray(bits[:, w]) for w in range(WORDS))]
 
     words = [f"w{k}" for k in range(WORDS)]
-    return _unpacked(blobs, "doc bigint, " + ", ".join(f"{w} bigint" for w in words), flipped).groupBy("doc").agg(*[F.min(w).alias(w) for w in words], F.count("*").alias("sets"))
+    return _unpacked(blobs, "doc bigint, " + ", ".join(f"{w} bigint" for w in words), flipped)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -299,7 +299,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    with_a = pairs.join(sets.withColumnsRenamed({"doc": "a", "tokens": "x"}), "a")
+    with_a = pairs.distinct().join(sets.withColumnsRenamed({"doc": "a", "tokens": "x"}), "a")
     with_both = with_a.join(sets.withColumnsRenamed({"doc": "b", "tokens": "y"}), "b")
     return with_both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
@@ -330,7 +330,7 @@ def linked(blobs: DataFrame, percent: int, tables: Tables) -> DataFrame:
     # an id that several rows with different sets repeat is linked with each set's representative
     rows = _rows(blobs)
     repeated = rows.groupBy("doc").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc")
-    edges = tables.put(rows.join(repeated, "doc").where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")))
+    edges = rows.join(repeated, "doc").where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     order = Window.partitionBy("key").orderBy("rank")
 
     def leading(known: DataFrame, low: int, high: int) -> DataFrame:
@@ -345,15 +345,15 @@ def linked(blobs: DataFrame, percent: int, tables: Tables) -> DataFrame:
         if "w0" in known.columns:
             apart = sum((F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
             least = F.expr(f"({percent} * (x.size + y.size) + {99 + percent}) div {100 + percent}")
-            fits = fits & ((apart <= total - 2 * least) | (F.col("x.sets") > 1) | (F.col("y.sets") > 1))
+            fits = fits & (apart <= total - 2 * least)
         if once is None:
             once = F.col("x.rank") < F.col("y.rank")
         found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & fits)
-        return found.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+        return found.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
 
     first = live.withColumn("component", F.col("doc"))
     short, long = first.where(F.col("many") <= SHORT_LIST), first.where(F.col("many") > SHORT_LIST)
-    pairs = met(short.where("central"), short).unionByName(met(leading(long, 0, 1), long)).distinct()
+    pairs = met(short.where("central"), short).unionByName(met(leading(long, 0, 1), long))
     labels = connected(_verified(pairs, sets, percent).unionByName(edges), tables)
     low, high = 1, 3
     while low:
@@ -361,7 +361,7 @@ def linked(blobs: DataFrame, percent: int, tables: Tables) -> DataFrame:
         unmet = known.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count_if("central").alias("centres"), F.min(F.when(F.col("central"), F.col("size"))).alias("least")).where(f"c1 <> c2 and centres > {low}")
         may = F.col("central") | ((F.col("size") - F.col("alone")) * (100 + percent) >= percent * (F.col("size") + F.col("least")))
         known = known.join(unmet.select("key", "least"), "key").where(may).drop("least")
-        known = tables.put(known.join(_bitmaps(blobs), "doc"))
+        known = tables.put(known.join(_bitmaps(blobs), "doc"))  # an id with several sets takes part with the bitmap of each
         per = known.groupBy("key", "component").count()
         largest = per.groupBy("key").agg(F.sum("count").alias("n"), F.max_by("component", F.struct("count", "component")).alias("top"), F.max("count").alias("most"))
         left = largest.agg(F.sum((F.col("n") - F.col("most")) * F.col("n"))).first()[0] or 0
@@ -378,7 +378,7 @@ def linked(blobs: DataFrame, percent: int, tables: Tables) -> DataFrame:
             labels = new
         tables.drop(known)
         low, high = (0, 0) if last else (high, 2 * high + 1)
-    tables.drop(live, edges)
+    tables.drop(live)
     return labels
 
 
