@@ -108,6 +108,8 @@ def tune(validation: DataFrame, source_split: str = "validation") -> dict:
     """The best threshold of validation predictions as a record; other rows are refused."""
     if source_split != "validation":
         raise CheckError("a threshold is tuned on validation rows only")
+    if "split" in validation.columns and not validation.where(~F.coalesce(F.lower(F.trim("split")) == "validation", F.lit(False))).isEmpty():
+        raise CheckError("the predictions hold rows of another split than validation")
     best = metrics.best_threshold(validation).first().asDict()
     return best | {"source_split": source_split}
 
@@ -136,6 +138,8 @@ def final_evaluation(contract_path: str, manifest: DataFrame, score: Callable[[D
         raise CheckError("this model had its final evaluation") from e
     try:
         rows = manifest.where(F.lower(F.trim("split")) == "test")
+        if rows.isEmpty():
+            raise CheckError("no test rows to evaluate")
         scored = score(rows)
         predictions = metrics.prediction_table(scored, contract.threshold)
         predictions.write.mode("errorifexists").parquet(str(Path(out) / "predictions"))
