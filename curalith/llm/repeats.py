@@ -267,7 +267,8 @@ def verdicts(
             text = np.concatenate([own[i][x : x + n + window - 1] for i, x, n in zip(doc[e].tolist(), start[e].tolist(), count[e].tolist(), strict=True)])
             yield b, exchange.pack("entries", count[e].astype(np.uint16), place[e].astype(np.uint16), weight[part], text)
         # the way back: which segment of which document each entry stands for, echoed by a bucket of the group's own
-        yield grp % groups, exchange.pack("places", doc.astype(np.int32), start.astype(np.int64), entry.astype(np.int32), count[lead].astype(np.int32))
+        # the entries ascend by steps of one, so a bit tells each; a text in memory has less than 2**32 symbols
+        yield grp % groups, exchange.pack("places", exchange.planes(doc), exchange.planes(start), np.packbits(new), exchange.planes(count[lead]))
 
     def reply(bucket: int, asked: list[tuple[int, bytes]]) -> Iterable[tuple[int, bytes]]:
         entries, owners = [], []
@@ -294,10 +295,11 @@ def verdicts(
         out: list[np.ndarray | None] = [None] * len(ids)
         if places is None or not values:
             return out
-        doc, start, entry, count = places
+        doc, start, count = (exchange.unplanes(places[k]).astype(np.int64) for k in (0, 1, 3))
+        entry = np.cumsum(np.unpackbits(places[2], count=len(doc)), dtype=np.int64) - 1
         value = np.concatenate(values)
-        begin = np.cumsum(count.astype(np.int64)) - count
-        reps = count[entry].astype(np.int64)
+        begin = np.cumsum(count) - count
+        reps = count[entry]
         inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
         d, x, v = np.repeat(doc, reps), np.repeat(start, reps) + inner, value[np.repeat(begin[entry], reps) + inner]
         id_of = np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
