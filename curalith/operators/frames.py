@@ -39,10 +39,21 @@ def filled_groups(frame: DataFrame, group: str, least: int = 1) -> DataFrame:
     return frame.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def first_of_each(frame: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key, in order: an aggregate, so a frequent key is no burden to one task."""
+def first_of_each(frame: DataFrame, key: str, order: str, ties: Sequence[Column] = ()) -> DataFrame:
+    """The first row of each key, in order, nulls last: an aggregate, so a frequent key is no burden to one task.
+
+    A key without any value to order by keeps a row.  Rows that tie are told
+    apart by ``ties``, columns that the result doesn't have; ``position()`` takes
+    the first one read.  Without them any of the tied rows may come.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in frame.columns])
-    return frame.groupBy(F.col(key).alias("k")).agg(F.min_by(whole, F.col(order)).alias("w")).select("w.*")
+    rank = F.struct(F.col(order).isNull(), F.col(order), *ties)
+    return frame.groupBy(F.col(key).alias("k")).agg(F.min_by(whole, rank).alias("w")).select("w.*")
+
+
+def position() -> list[Column]:
+    """Where a row stands in the files of a scan."""
+    return [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
 
 
 def one_batch(frame: DataFrame, size: int, order: str) -> DataFrame:

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from curalith.functions import scalar
-from curalith.operators import audit, checks, components, curation, fingerprint, history, latency, metrics, model, profile, reconcile, split
+from curalith.operators import audit, checks, components, curation, fingerprint, frames, history, latency, metrics, model, profile, reconcile, split
+from curalith.plans import inventory, register  # noqa: F401
 from curalith.sources import scans, sinks
 
 
@@ -293,3 +294,20 @@ def test_model(spark):
     assert losses[-1] < losses[0]
     with pytest.raises(ValueError, match="train split"):
         model.train(data.withColumn("split", F.lit("test")))
+
+
+def test_first_of_each_keeps_keys_without_order(spark):
+    rows = spark.createDataFrame([(1, None, 5), (2, 3, 6), (2, None, 7), (None, 4, 8)], "k int, o int, v int")
+    assert sorted(frames.first_of_each(rows, "k", "o").collect(), key=str) == sorted([(1, None, 5), (2, 3, 6), (None, 4, 8)], key=str)
+
+
+def test_first_of_each_takes_the_first_of_tied_rows(spark, tmp_path):
+    rows = [(i % 50, i // 200, 1, float(i)) for i in range(1000)]
+    for part in (0, 1):
+        data = spark.createDataFrame(rows[part * 500 : part * 500 + 500], "l_partkey bigint, l_orderkey bigint, l_linenumber int, l_quantity double")
+        data.coalesce(1).sortWithinPartitions(F.col("l_quantity").desc()).write.parquet(str(tmp_path / f"part{part}"))
+    (tmp_path / "lineitem.parquet").mkdir()
+    for part in (0, 1):
+        next((tmp_path / f"part{part}").glob("*.parquet")).rename(tmp_path / "lineitem.parquet" / f"{part}.parquet")
+    found = {r.l_partkey: (r.place, r.l_quantity) for r in register.QUERIES["first_of_each"](spark, str(tmp_path)).collect()}
+    assert found == {k: (1, 150.0 + k) for k in range(50)}
