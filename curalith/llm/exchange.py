@@ -13,6 +13,7 @@ executor's groups and buckets are computed anew from the same rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,12 @@ def _read(raw: bytes, at: int):
     return (part if code == _BYTES else part.decode()), at + n
 
 
+@cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """A process's own pair: to make one takes longer than to compress a small blob."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(*items) -> bytes:
     """Arrays, ints, bytes, texts and lists of them in one blob.
 
@@ -111,11 +118,11 @@ def pack(*items) -> bytes:
     for x in items:
         _write(x, out)
     raw = b"".join(out)
-    return b"\0" + raw if len(raw) < SMALL else b"\1" + zstandard.ZstdCompressor(level=1).compress(raw)
+    return b"\0" + raw if len(raw) < SMALL else b"\1" + _zstd()[0].compress(raw)
 
 
 def unpack(blob: bytes) -> list:
-    raw = blob[1:] if blob[0] == 0 else zstandard.ZstdDecompressor().decompress(blob[1:])
+    raw = blob[1:] if blob[0] == 0 else _zstd()[1].decompress(blob[1:])
     out, at = [], 0
     while at < len(raw):
         x, at = _read(raw, at)

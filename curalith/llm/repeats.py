@@ -8,7 +8,8 @@ windows cover.  Every window is in exactly one segment, so
 
 1. groups of documents send the anchors' hashes, truncated; an anchor that
    occurs once in the corpus has no repeated window (a collision here only
-   lets a segment through);
+   lets a segment through).  Least hashes crowd at the low end, about nine times
+   as dense there as on average, so they are mixed anew before they are dealt;
 2. segments of the other anchors go to the bucket that owns the anchor's
    hash, once for each group and content, with what their occurrences amount
    to; an index over the bucket's distinct segments decides each window;
@@ -101,7 +102,12 @@ def segments(symbols: np.ndarray, lengths: np.ndarray, window: int, k: int) -> S
     count = np.diff(np.append(first, len(x)))
     size = count + window - 1
     place = a[first] - start
-    return Segments(np.searchsorted(ends, start, "right"), start, count, place, grams[a[first]], _content(prefix, down, start, size, place))
+    return Segments(np.searchsorted(ends, start, "right"), start, count, place, _anchor(grams[a[first]]), _content(prefix, down, start, size, place))
+
+
+def _anchor(gram: np.ndarray) -> np.ndarray:
+    """The hash by which an anchor is known: one of equal chances over the whole range, unlike the least of many."""
+    return mix(gram ^ np.uint64(BASE))
 
 
 def _content(prefix: np.ndarray, down: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -164,7 +170,7 @@ def received(windows: np.ndarray, place: np.ndarray, weight: np.ndarray, symbols
     np.cumsum(values * up[: len(values)], dtype=np.uint64, out=prefix[1:])
     alone = place == SINGLE
     at = start + np.where(alone, 0, place)
-    anchor = mix((prefix[at + k] - prefix[at]) * down[at])
+    anchor = _anchor(mix((prefix[at + k] - prefix[at]) * down[at]))
     content = _content(prefix, down, start, size, place)
     single = mix((prefix[start + window] - prefix[start]) * down[start] ^ np.uint64(window))
     return Entries(np.where(alone, single, anchor), np.where(alone, single, content), windows, weight, symbols)
@@ -177,6 +183,11 @@ def window_hashes(symbols: np.ndarray, size: int) -> np.ndarray:
     return mix((prefix[size:] - prefix[:-size]) * down[: len(symbols) + 1 - size] ^ np.uint64(size))
 
 
+def bucket_count(groups: int) -> int:
+    """A bucket for four groups, where there are many: each pair that talks costs a blob each way and time in its own right."""
+    return min(groups, max(24, -(-groups // 4)))
+
+
 def verdicts(
     docs: DataFrame,
     groups: int,
@@ -199,6 +210,7 @@ def verdicts(
     for an entry's smallest id only, and the group's larger ids repeat it anyway.
     """
     shift = np.uint64(64 - bits)
+    buckets = bucket_count(groups)
 
     def found(data: list[bytes]):
         own = [symbols(t) for t in data]
@@ -207,7 +219,7 @@ def verdicts(
     def first(grp: int, ids: list, data: list[bytes]) -> Iterable[tuple[int, bytes]]:
         _, s = found(data)
         keys, counts = np.unique(s.anchor >> shift, return_counts=True)
-        for b, part in exchange.by_bucket(keys << shift, groups):
+        for b, part in exchange.by_bucket(keys << shift, buckets):
             yield b, exchange.pack(exchange.pack_sorted(keys[part]), np.packbits(counts[part] > 1))
 
     def shared(bucket: int, asked: list[tuple[int, bytes]]) -> Iterable[tuple[int, bytes]]:
@@ -262,13 +274,13 @@ def verdicts(
         lead = np.flatnonzero(new)
         id_of = np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
         weight = weigh(id_of[doc], lead)
-        for b, part in exchange.by_bucket(anchor[lead], groups):
+        for b, part in exchange.by_bucket(anchor[lead], buckets):
             e = lead[part]
             text = np.concatenate([own[i][x : x + n + window - 1] for i, x, n in zip(doc[e].tolist(), start[e].tolist(), count[e].tolist(), strict=True)])
             yield b, exchange.pack("entries", count[e].astype(np.uint16), place[e].astype(np.uint16), weight[part], text)
         # the way back: which segment of which document each entry stands for, echoed by a bucket of the group's own
         # the entries ascend by steps of one, so a bit tells each; a text in memory has less than 2**32 symbols
-        yield grp % groups, exchange.pack("places", exchange.planes(doc), exchange.planes(start), np.packbits(new), exchange.planes(count[lead]))
+        yield grp % buckets, exchange.pack("places", exchange.planes(doc), exchange.planes(start), np.packbits(new), exchange.planes(count[lead]))
 
     def reply(bucket: int, asked: list[tuple[int, bytes]]) -> Iterable[tuple[int, bytes]]:
         entries, owners = [], []

@@ -504,3 +504,31 @@ def test_blobs_come_back_and_small_ones_weigh_little():
     for buckets in (10, 100_000):  # at the worst each key travels alone, and costs what a row would
         sent = sum(len(exchange.pack(exchange.pack_sorted(keys[s]), np.ones(s.stop - s.start, np.uint32))) for _, s in exchange.by_bucket(keys, buckets))
         assert sent <= 24 * len(keys)
+
+
+def test_anchors_are_dealt_evenly():
+    rng = random.Random(8)
+    texts = [np.frombuffer(bytes(rng.randrange(97, 123) for _ in range(20_000)), np.uint8) for _ in range(10)]
+    s = repeats.group_segments(texts, lambda t: suffix_dedup.BYTE_TABLE[t], 50, 34)
+    held = np.bincount(exchange.bucket_of(s.anchor, 16), minlength=16)
+    assert held.max() < 1.2 * held.mean()
+    assert repeats.bucket_count(4000) == 1000
+
+
+def test_large_batches_have_more_shards(monkeypatch):
+    rng = random.Random(9)
+    own = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(8, 20))) for _ in range(60)]
+    entries = [
+        repeats.Entries(np.full(30, 7, np.uint64), np.arange(a, a + 30, dtype=np.uint64), np.array([len(x) - 7 for x in own[a : a + 30]]), np.array(range(a, a + 30)), np.frombuffer(b"".join(own[a : a + 30]), np.uint8))
+        for a in (0, 30)
+    ]
+    seen = []
+    monkeypatch.setattr(suffix_dedup, "SHARD", 100)
+    monkeypatch.setattr(suffix_dedup, "merge", lambda shards, depth, f=suffix_dedup.merge: (seen.append(len(shards)), f(shards, depth))[1])
+    got = np.concatenate(suffix_dedup.decide(entries, 8)).tolist()
+    least = {}
+    for k, x in enumerate(own):
+        for i in range(len(x) - 7):
+            least.setdefault(x[i : i + 8], k)
+    assert got == [least[x[i : i + 8]] < k for k, x in enumerate(own) for i in range(len(x) - 7)]
+    assert seen == [-(-sum(map(len, own)) // 100)]
