@@ -2,7 +2,7 @@
 
 Pieces are dealt at random into groups of bounded size.  In a group, best fit
 places the pieces, largest first, and a local search then exchanges one for
-one, two for one, or moves pieces between bins that aren't full.  Each step
+one, any two for one, or moves pieces between bins that aren't full.  Each step
 raises the sum of squared fills, so the fullest bins become full and the
 emptiest run empty.  What is still in bins that aren't nearly full is then
 packed once more, together with the others' rests.
@@ -46,15 +46,12 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-#: Partners, next in size, with which a piece is given two for one.
-PARTNERS = 4
-
-
 def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Bins after moves and exchanges that each raise the sum of squared fills, until a pass finds none.
 
-    A bin looks for the largest fitting piece of any emptier bin, in exchange
-    for nothing, for one of its pieces of each size, or for two of near sizes.
+    A bin looks for the largest fitting piece of any emptier bin, or else for the
+    exchange with one that fills it most: a piece for one or any two of its own.
+    Sets of sizes are bits of an integer, so that all pairs are tried at once.
     """
     fill = [sum(sizes[i] for i in b) for b in bins]
     while True:
@@ -64,16 +61,19 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list
             break
         rank = {b: k for k, b in enumerate(order)}
         pool = sorted((sizes[i], -rank[b], i, b) for b in order for i in bins[b])
+        count = [0] * (capacity + 1)  # pieces of each size in bins emptier than the one at hand
+        for entry in pool:
+            count[entry[0]] += 1
+        offered = sum(1 << s for s in range(1, capacity + 1) if count[s])  # bit s: there is one
         changed = False
 
-        def take(low: int, high: int, upto: int):
-            """The largest piece of size in (low, high] in a bin that is emptier than the one of rank ``upto``."""
-            k = bisect_left(pool, (high + 1,))
-            while k and (entry := pool[k - 1])[0] > low:  # of one size, the emptiest bin's comes last
-                if -entry[1] < upto:
-                    return entry
-                k = bisect_left(pool, (entry[0],))
-            return None
+        def add(size: int, n: int) -> None:
+            nonlocal offered
+            count[size] += n
+            offered = offered | 1 << size if count[size] else offered & ~(1 << size)
+
+        def emptiest(size: int):
+            return pool[bisect_left(pool, (size + 1,)) - 1]  # of one size, the emptiest bin's comes last
 
         def move(entry, to: int) -> None:
             size, _, i, b = entry
@@ -85,33 +85,41 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list
             insort(pool, (size, -rank[to], i, to))
 
         for b in reversed(order):  # the fullest first
-            while 0 < (room := capacity - fill[b]):
-                if fill[b] == 0:
-                    break
-                if (entry := take(0, room, rank[b])) and fill[b] + entry[0] > fill[entry[3]]:  # else squared fill would fall
+            for i in bins[b]:
+                add(sizes[i], -1)
+            while fill[b] and 0 < (room := capacity - fill[b]):
+                fits = offered & ((2 << room) - 1)
+                if fits and fill[b] + (size := fits.bit_length() - 1) > fill[(entry := emptiest(size))[3]]:  # else squared fill would fall
                     move(entry, b)
+                    add(size, -1)
                     changed = True
                     continue
-                best = None
-                own = list({sizes[i]: i for i in sorted(bins[b], key=lambda i: (sizes[i], -i))}.values())
-                for k, i in enumerate(own):  # one for one: a larger piece for one of this bin's
-                    if entry := take(sizes[i], sizes[i] + room, rank[b]):
-                        if best is None or entry[0] - sizes[i] > best[0]:
-                            best = (entry[0] - sizes[i], entry, (i,))
-                    for j in own[k + 1 : k + 1 + PARTNERS]:  # one for two of this bin's
-                        two = sizes[i] + sizes[j]
-                        if entry := take(two, two + room, rank[b]):
-                            if best is None or entry[0] - two > best[0]:
-                                best = (entry[0] - two, entry, (i, j))
-                if best is None:
+                own: dict[int, list[int]] = {}
+                for i in sorted(bins[b]):
+                    own.setdefault(sizes[i], []).append(i)
+                ones = twos = 0
+                for s, members in own.items():
+                    twos |= ones << s | (1 << 2 * s if len(members) > 1 else 0)
+                    ones |= 1 << s
+                for gain in range(room, 0, -1):
+                    if hit := ones << gain & offered or twos << gain & offered:
+                        break
+                else:
                     break
-                gain, entry, given = best
+                entry = emptiest(size := (hit & -hit).bit_length() - 1)
                 donor = entry[3]
-                if fill[donor] >= fill[b]:  # the donor has meanwhile become the fuller one
+                if fill[b] + gain <= fill[donor]:  # the donor has meanwhile become the fuller one; the next pass sees it anew
                     break
+                if size - gain in own:
+                    given = own[size - gain][:1]
+                else:
+                    s = next(s for s in own if size - gain - s in own and (2 * s != size - gain or len(own[s]) > 1))
+                    given = [own[s][0], own[size - gain - s][-1]]
                 move(entry, b)
+                add(size, -1)
                 for i in given:
                     move((sizes[i], -rank[b], i, b), donor)
+                    add(sizes[i], 1)
                 changed = True
         if not changed:
             break

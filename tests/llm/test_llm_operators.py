@@ -532,3 +532,35 @@ def test_large_batches_have_more_shards(monkeypatch):
             least.setdefault(x[i : i + 8], k)
     assert got == [least[x[i : i + 8]] < k for k, x in enumerate(own) for i in range(len(x) - 7)]
     assert seen == [-(-sum(map(len, own)) // 100)]
+
+
+@pytest.mark.parametrize(
+    ("sizes", "bins", "capacity", "full"),
+    [
+        ([1, 2, 3, 4, 5, 6, 30, 32], [[0, 1, 2, 3, 4, 5, 6], [7]], 52, [2, 3, 4, 5, 6, 32]),  # 1 and 30, far from one another in size, for 32
+        ([15, 15, 9, 31], [[0, 1, 2], [3]], 40, [9, 31]),  # two of one size
+        ([10, 20, 11, 19], [[0, 1], [2, 3]], 31, [11, 20]),  # bins of equal fill
+    ],
+)
+def test_search_tries_all_partners(sizes, bins, capacity, full):
+    got = packing.local_search(sizes, [list(b) for b in bins], capacity)
+    assert sum(map(len, got)) == len(sizes)
+    assert full in [sorted(sizes[i] for i in b) for b in got]
+
+
+def test_search_leaves_no_exchange():
+    rng = random.Random(4)
+    for _ in range(60):
+        capacity = rng.choice([20, 50, 200])
+        sizes = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 40))]
+        bins = []
+        for i in range(len(sizes)):  # first fit in any order, so that the search has work
+            b = next((b for b in bins if sum(sizes[j] for j in b) + sizes[i] <= capacity), None)
+            b.append(i) if b else bins.append([i])
+        got = packing.local_search(sizes, bins, capacity)
+        assert sorted(i for b in got for i in b) == list(range(len(sizes)))
+        fill = [sum(sizes[i] for i in b) for b in got]
+        assert max(fill) <= capacity
+        for b, donor in ((b, d) for b in range(len(got)) for d in range(len(got)) if (fill[d], d) < (fill[b], b)):
+            given = [0, *[sizes[i] for i in got[b]], *[sizes[i] + sizes[j] for i in got[b] for j in got[b] if i < j]]
+            assert not any(0 < sizes[i] - g <= capacity - fill[b] for i in got[donor] for g in given)
