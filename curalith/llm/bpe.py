@@ -13,6 +13,7 @@ across ASCII white space, and its special tokens hold none.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,8 +81,10 @@ class Encoder:
         self.pieces_of = regex.compile(split["pattern"]["Regex"]).findall
         #: Below U+0250 nothing composes and lower case goes by character in any Unicode version.
         self.plain = regex.compile("[!-~¡-ɏ]+").fullmatch
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        special = [t["content"] for t in spec["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
         self.names = {i: t.encode() for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.bytes_of = {i: i.to_bytes(4, "little") for i in self.names}
         # the public byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 and up
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(shown)]
@@ -90,7 +93,9 @@ class Encoder:
         self.pieces = _Memo(self._piece)
 
     def _pack(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return np.array(ids, "<u4").tobytes(), b" ".join([self.names[i] for i in ids])
+        if len(ids) == 1:
+            return self.bytes_of[ids[0]], self.names[ids[0]]
+        return b"".join([self.bytes_of[i] for i in ids]), b" ".join([self.names[i] for i in ids])
 
     def _piece(self, piece: str) -> tuple[bytes, bytes]:
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
@@ -98,10 +103,11 @@ class Encoder:
 
     def _word(self, word: bytes) -> tuple[bytes, bytes]:
         text = word.decode()
-        if self.plain(text) and not any(s in text for s in self.special):
-            parts = [self.pieces[p] for p in self.pieces_of(text.lower())]
-            if len(parts) == 1:
-                return parts[0]
+        if self.plain(text) and not self.special(text):
+            found = self.pieces_of(text.lower())
+            if len(found) == 1:
+                return self.pieces[found[0]]
+            parts = [self.pieces[p] for p in found]
             return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts if p[1]])
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
